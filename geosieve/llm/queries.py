@@ -13,6 +13,18 @@ def op1_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids", "source_no")
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geosieve.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geosieve.llm.language import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geosieve.llm.token_files import token_digest, write_token_files
 
@@ -27,6 +39,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from geosieve.llm.sharding import shard
+
+    out = shard(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geosieve.llm.winnowing import edited_fingerprints
 
