@@ -34,6 +34,12 @@ def op4_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats_pfp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geosieve.llm.repeats import digests, without_repeats
+
+    return digests(without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geosieve.llm.token_files import token_digest, write_token_files
 
