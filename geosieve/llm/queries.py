@@ -40,6 +40,12 @@ def op5_repeats_pfp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geosieve.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geosieve.llm.token_files import token_digest, write_token_files
 
