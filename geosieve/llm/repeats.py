@@ -103,7 +103,9 @@ class Batch:
             own = np.flatnonzero(most[: len(h)] == h[: len(most)]) + a
             own = own[(own >= low) & (own < low + SEGMENT)]
             places.append(own)
-            hashes.append(h[own - a] >> np.uint64(16))
+            # Least hashes are small ones; mixed again they spread evenly over the buckets.
+            mixed = h[own - a] * np.uint64(0xC2B2AE3D27D4EB4F)
+            hashes.append((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x165667B19E3779F9) >> np.uint64(16))
         self.places = np.concatenate(places) if places else np.zeros(0, np.int64)
         self.text = np.searchsorted(self.begins, self.places, "right") - 1
         self.values, self.value_of = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
