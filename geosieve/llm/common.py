@@ -66,3 +66,18 @@ def with_offsets(df: DataFrame, group: list[str], bucket: str, order: list, amou
     inner = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     on = [inner[c].eqNullSafe(begins[f"_{c}"]) for c in key]
     return inner.join(if_small(begins), on, "left").withColumn(name, (F.col("_within") + F.col("_begin")).cast("long")).drop("_within", "_begin", *(f"_{c}" for c in key))
+
+
+def lean() -> None:
+    """In a Python worker: freed memory goes back to the system at once, as two workers and a JVM share an executor."""
+    import ctypes
+    import contextlib
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: larger blocks are mapped and unmapped
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 1)  # M_ARENA_MAX

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.llm.common import partitions, stored
+from geosieve.llm.common import lean, partitions, stored
 from geosieve.llm.tokens import texts_of
 
 LENGTH, TRIGGER = 50, 20
@@ -222,6 +222,7 @@ def _batched(batches: Iterator) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
+    lean()
     codec, part, count = _codec(), TaskContext.get().partitionId(), 0
     ids: list = []
     texts: list[bytes] = []
@@ -253,6 +254,7 @@ def _open(row: dict) -> Batch:
 
 
 def _rows(batches: Iterator) -> Iterator[dict]:
+    lean()
     for b in batches:
         for i in range(b.num_rows):
             yield b.slice(i, 1).to_pylist()[0]
@@ -279,6 +281,7 @@ def _survivors(rows):
     """applyInArrow over a bucket: for each batch, a bit for each of its hashes: two documents have it."""
     import pyarrow as pa
 
+    lean()
     found, shared, sizes = [], [], []
     for h, s in zip(rows["hashes"].to_pylist(), rows["shared"].to_pylist()):
         six = np.frombuffer(h, np.uint8).reshape(-1, 6)
@@ -333,6 +336,7 @@ def _judged(rows):
     """applyInArrow over a bucket: the answers for each batch's entries."""
     import pyarrow as pa
 
+    lean()
     codec = _codec()
     ids = [np.frombuffer(x, np.int64) for x in rows["ids"].to_pylist()]
     entries = [np.frombuffer(codec.decompress(e, len(i) * WIDTH, asbytes=True), np.uint8).reshape(-1, WIDTH) for e, i in zip(rows["entries"].to_pylist(), ids)]

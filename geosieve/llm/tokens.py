@@ -12,17 +12,26 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: The remembered words are dropped when there are so many: about 60 MB.
+from geosieve.llm.common import lean
+
+#: A generation of remembered words, and of parts of words: when it is full, the one before it is dropped.
 MOST_WORDS = 250_000
 
-ODD = re.compile(rb"[\x00-\x08\x1c-\x1f\x7f]|<\|")
-PLAIN = rb"[!-&(-/:-@\[-`{-~]"  # ASCII signs but for the apostrophe, which can open a suffix
-#: Signs, letters, signs: the tokenizer splits exactly there.
-FRAMED = re.compile(rb"(" + PLAIN + rb"*)((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)(" + PLAIN + rb"*)")
+ODD = bytes([*range(9), *range(28, 32), 127])
+#: ASCII signs but for the apostrophe, which can open a suffix.
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -30,39 +39,69 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        lean()
         self.lib = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 65536 else "<u4")
-        normalizer = str(self.lib.normalizer)
+        self.letters = dict(enumerate(_byte_letters()))
+        self.ids = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.lib.get_vocab_size())]
+        normalizer, splits = str(self.lib.normalizer), str(self.lib.pre_tokenizer)
         #: Words may be taken alone (and in lower case) only where the file lowers case and splits at white space.
-        self.by_word = "Lowercase" in normalizer and "s+" in normalizer and "Split" in str(self.lib.pre_tokenizer)
+        self.by_word = "Lowercase" in normalizer and "s+" in normalizer and "Split" in splits and "ByteLevel" in splits
+        #: Runs of letters, or of signs, may go to the model itself if it then answers as the whole library does.
+        trial = [b"aftermath", b"zugekn\xc3\xb6pft", b"\xc3\xa0", b"***", b"$$%", b"qq", b"stra\xc3\x9fe"]
+        self.by_part = self.by_word and all(self.of_model(x) == self.whole(x.decode()) for x in trial)
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
+        self.old_words, self.old_parts = self.words, self.parts
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def of_model(self, raw: bytes) -> bytes:
+        text = raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.letters)
+        return b"".join([self.ids[t.id] for t in self.lib.model.tokenize(text)])
+
     def part(self, raw: bytes) -> bytes:
-        if (got := self.parts.get(raw)) is None:
-            if len(self.parts) >= MOST_WORDS:
-                self.parts = {b"": b""}
-            got = self.parts[raw] = self.whole(raw.decode())
+        """The ids of a run of letters, or of signs."""
+        if (got := self.old_parts.get(raw)) is None:
+            got = self.of_model(raw) if self.by_part else self.whole(raw.decode())
+        if len(self.parts) >= MOST_WORDS:
+            self.old_parts, self.parts = self.parts, {b"": b""}
+        self.parts[raw] = got
         return got
 
-    def word(self, raw: bytes) -> bytes:
+    def fill(self, words: list[bytes], ids: list) -> None:
+        """Puts the ids of words that the newest generation doesn't hold in their places."""
         if len(self.words) >= MOST_WORDS:
-            self.words.clear()
-        found = FRAMED.fullmatch(raw)
-        got = self.words[raw] = b"".join(map(self.part, found.groups())) if found else self.part(raw)
-        return got
+            self.old_words, self.words = self.words, {}
+        old, new = self.old_words.get, self.words
+        for i, (word, got) in enumerate(zip(words, ids)):
+            if got is None:
+                if (got := new.get(word)) is None and (got := old(word)) is None:
+                    core = word.strip(SIGNS)
+                    known = self.parts.get
+                    if core.isalpha() or LETTERS.fullmatch(core):  # signs, letters, signs: the tokenizer splits exactly there
+                        if (got := known(core)) is None:
+                            got = self.part(core)
+                        if len(core) < len(word):
+                            at = word.find(core)
+                            for signs, front in ((word[:at], True), (word[at + len(core) :], False)):
+                                if signs:
+                                    if (more := known(signs)) is None:
+                                        more = self.part(signs)
+                                    got = more + got if front else got + more
+                    else:
+                        got = self.whole(word.decode()) if core else self.part(word)
+                new[word] = ids[i] = got
 
     def encode(self, raw: bytes) -> np.ndarray:
         """The ids of a text given as UTF-8, as int32."""
-        if not self.by_word or ODD.search(raw):
+        if not self.by_word or b"<|" in raw or len(raw.translate(None, ODD)) < len(raw):
             return np.frombuffer(self.whole(raw.decode()), self.kind).astype(np.int32)
         words = raw.lower().split()
         ids = [*map(self.words.get, words)]
         if None in ids:
-            ids = [x if x is not None else self.word(w) for x, w in zip(ids, words)]
+            self.fill(words, ids)
         return np.frombuffer(b"".join(ids), self.kind).astype(np.int32)
 
 
