@@ -1,4 +1,430 @@
-"""Names of all queries on the graphs made from the driver's tables."""
+"""All queries on the graphs made from the driver's tables, with rounded doubles and long integers so that engines agree."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from geosieve import sources
+from geosieve.functions import draw, edge_strength, euclid, flatten_tag, parse_maxspeed
+from geosieve.graph import Graph, incident, induced, undirected_min
+from geosieve.operators import communities as co
+from geosieve.operators import connectivity as cn
+from geosieve.operators import construct as ct
+from geosieve.operators import distances as di
+from geosieve.operators import features as fe
+from geosieve.operators import metrics as me
+from geosieve.operators import samplers as sa
+from geosieve.operators import scoring as sc
+from geosieve.plans.oracles import ORACLES  # noqa: F401
+from geosieve.plans.storage import stored
+
+K, SEED = 25, 7
+WEIGHTS = {"log_degree": 0.6, "clustering": 0.3, "freq_residential": 0.4, "avg_edge_len": -0.3, "freq_motorway": -0.4, "avg_maxspeed": -0.2}
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    def one(f: T.StructField):
+        if isinstance(f.dataType, T.DoubleType):
+            return (F.round(f.name, 6) + F.lit(0.0)).alias(f.name)  # no negative zero
+        return F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, T.IntegralType) else F.col(f.name)
+
+    return df.select(*(one(f) for f in df.schema.fields))
+
+
+def on(adapter):
+    """Registers a function of a graph as a query."""
+
+    def register(f):
+        QUERIES[f.__name__.strip("_")] = lambda spark, sf_dir: plain(f(adapter(spark, sf_dir)))
+        return f
+
+    return register
+
+
+emb, evt = on(sources.embedding_graph), on(sources.event_graph)
+
+
+def stored_emb(spark: SparkSession, sf_dir: str) -> Graph:
+    g = sources.embedding_graph(spark, sf_dir)
+    return Graph(stored(g.vertices, "vertices"), stored(g.edges, "edges"))
+
+
+def stored_evt(spark: SparkSession, sf_dir: str) -> Graph:
+    g = sources.event_graph(spark, sf_dir)
+    return Graph(stored(g.vertices, "vertices"), stored(g.edges, "edges"))
+
+
+emb2, evt2 = on(stored_emb), on(stored_evt)
+
+
+def degrees(g: Graph) -> DataFrame:
+    return g.vertices.select("id").join(incident(g.edges).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").fillna(0)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["round_robin"](spark, sf_dir)
+
+
+# --- construction
+
+
+@evt
+def edge_speeds(g):
+    return ct.edge_speeds(g.edges).select("eid", "speed_kph")
+
+
+@evt
+def edge_travel_times(g):
+    return ct.travel_times(g.edges).select("eid", "travel_time")
+
+
+@evt
+def flatten_tags(g):
+    return g.edges.groupBy("src").agg(F.array_sort(F.collect_set("highway")).alias("tags")).select("src", flatten_tag(F.col("tags")).alias("highway"))
+
+
+@emb
+def dense_ids(g):
+    return ct.dense_ids(g.vertices)
+
+
+@evt
+def active_nodes(g):
+    return ct.active_nodes(g).select("id")
+
+
+@evt
+def highway_filter(g):
+    return ct.highway_filter(g.edges, ["primary", "motorway"]).select("eid", "src", "dst", "highway")
+
+
+@emb
+def undirected_collapse(g):
+    return undirected_min(g.edges)
+
+
+@emb
+def induced_subgraph(g):
+    return induced(g, g.vertices.where("community < 3")).edges.select("eid", "src", "dst", "length")
+
+
+@emb
+def map_and_dedup(g):
+    sample = g.vertices.select(F.col("id").alias("pos"), ((F.col("id") * 7) % 50).alias("osmid"))
+    return ct.map_and_dedup(sample, g.vertices.where("id >= 10").select("osmid", "id"))
+
+
+@emb2
+def simplify_chains(g):
+    return ct.simplify_chains(g)
+
+
+# --- features
+
+
+@evt
+def parse_speeds(g):
+    return g.edges.select("eid", parse_maxspeed(F.col("maxspeed")).alias("kph"))
+
+
+@evt
+def tag_features(g):
+    return fe.tag_features(g).drop("avg_edge_len_all")
+
+
+@evt
+def avg_edge_len(g):
+    return fe.average_edge_length(g)
+
+
+@emb2
+def clustering_coeff(g):
+    return fe.clustering(g)
+
+
+@evt2
+def node_features(g):
+    return fe.node_features(g)
+
+
+@evt
+def tag_freq_pivot(g):
+    return fe.tag_frequency_pivot(g)
+
+
+# --- score
+
+
+@evt2
+def feature_matrix(g):
+    return sc.feature_matrix(fe.node_features(g))
+
+
+@evt2
+def zscore(g):
+    return sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix"))
+
+
+@emb
+def winsorize(g):
+    return sc.winsorized(g.vertices.select("id", "x"), ["x"], 0.9)
+
+
+@evt2
+def urbanity_score(g):
+    return sc.score(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), WEIGHTS)
+
+
+@evt2
+def gmm_prune(g):
+    return sc.keep_urban(sc.score(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), WEIGHTS))
+
+
+@evt2
+def urban_prune(g):
+    keep = sc.keep_urban(sc.score(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), WEIGHTS))
+    return induced(g, stored(keep, "keep")).edges.select("eid", "src", "dst", "length")
+
+
+@emb
+def det_sample(g):
+    return sc.sample_rows(g.vertices.select("id"), 50, SEED)
+
+
+@emb
+def knee_point(g):
+    return sc.knee_point(g.edges.groupBy(F.col("src").alias("id")).agg(F.max("length").alias("d")))
+
+
+@emb
+def kth_nn_distance(g):
+    return g.edges.groupBy(F.col("src").alias("id")).agg(F.max("length").alias("d"))
+
+
+@emb
+def rural_prune(g):
+    return sc.drop_rural(g.vertices.select("id", F.col("community").alias("label"), F.col("x").alias("score"))).select("id", "label")
+
+
+# --- communities
+
+
+@emb
+def edge_strengths(g):
+    return g.edges.select("eid", edge_strength(F.col("length")).alias("strength"))
+
+
+@emb2
+def modularity(g):
+    e = undirected_min(g.edges).where("a <> b").select("a", "b", edge_strength(F.col("length")).alias("weight"))
+    return co.modularity(e, g.vertices)
+
+
+@emb
+def partition_summary(g):
+    return co.partition_summary(g.vertices)
+
+
+@emb
+def top_n_communities(g):
+    return co.top_communities(g.vertices, 4).select("id", "community")
+
+
+@emb
+def community_size_stats(g):
+    return co.size_stats(g.vertices)
+
+
+@emb
+def smallest_communities(g):
+    return co.smallest(g.vertices, 5)
+
+
+@emb
+def highlight_topk(g):
+    return co.highlight(g.vertices, 3)
+
+
+# --- connectivity
+
+
+@emb2
+def connected_components(g):
+    return cn.components(g.vertices, g.edges)
+
+
+@emb2
+def component_reps(g):
+    return cn.representatives(g.vertices.join(cn.components(g.vertices, g.edges), "id")).select("component", "id")
+
+
+@emb
+def knn_reps(g):
+    return cn.nearest_representatives(cn.representatives(g.vertices, "community"), 4)
+
+
+@emb2
+def mst_edges(g):
+    return cn.spanning_forest(undirected_min(g.edges).select("a", "b", F.col("length").alias("weight"))).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+@emb
+def bridge_forest(g):
+    return cn.bridge_chain(cn.representatives(g.vertices, "community"))
+
+
+@emb2
+def connect_components(g):
+    return cn.connect(g)
+
+
+# --- distances, samplers
+
+
+@emb2
+def sssp(g):
+    return di.shortest_paths(g, g.vertices.where("id = 0").select("id")).select("id", "d")
+
+
+@emb2
+def pairwise_distances(g):
+    return di.shortest_paths(g, g.vertices.where("id < 5").select("id"))
+
+
+@emb2
+def replace_infinite(g):
+    d = di.nearest_center(g, g.vertices.where("id = 0").select(F.lit(0).alias("pos"), "id"))
+    return di.replace_infinite(d, []).select("id", "d")
+
+
+@emb
+def euclid_matrix(g):
+    reps = cn.representatives(g.vertices, "community")
+    a, b = reps.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), reps.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", euclid("ax", "ay", "bx", "by").alias("d"))
+
+
+@emb
+def community_reps(g):
+    return sa.community_representatives(g.vertices, degrees(g))
+
+
+@emb
+def round_robin(g):
+    return sa.round_robin(g.vertices, K, SEED)
+
+
+@emb
+def round_robin_reset(g):
+    return sa.round_robin(g.vertices.where("id < 20"), 50, SEED)
+
+
+@emb
+def random_full(g):
+    return sa.uniform(g.vertices, K, SEED)
+
+
+@emb
+def random_pruned(g):
+    return sa.uniform(g.vertices.where("x > 0"), K, SEED)
+
+
+@emb2
+def fft_nodes(g):
+    return sa.farthest_first(g, 4, degrees(g))
+
+
+def _order(g: Graph) -> DataFrame:
+    reps = stored(sa.community_representatives(g.vertices, degrees(g)), "reps")
+    at = reps.join(g.vertices.select("id", "x", "y"), "id")
+    a, b = at.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), at.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return sa.city_order(a.join(b, F.col("a") != F.col("b")).select("a", "b", euclid("ax", "ay", "bx", "by").alias("d")), reps)
+
+
+@emb2
+def fft_order_matrix(g):
+    return _order(g)
+
+
+@emb2
+def hybrid(g):
+    return sa.hybrid(g.vertices, K, SEED, _order(g))
+
+
+# --- metrics
+
+
+def _sample(g: Graph) -> DataFrame:
+    return g.vertices.where("id % 50 = 0").select((F.col("id") / 50).cast("long").alias("pos"), "id")
+
+
+@emb2
+def nearest_center(g):
+    return di.nearest_center(g, _sample(g))
+
+
+@emb2
+def global_coverage(g):
+    return me.distance_summary(di.replace_infinite(di.nearest_center(g, _sample(g)), []), me.GLOBAL)
+
+
+@emb
+def community_coverage(g):
+    return me.coverage(g.vertices, _sample(g))
+
+
+@emb
+def balance(g):
+    return me.balance(g.vertices, _sample(g))
+
+
+@emb2
+def diversity(g):
+    s = stored(_sample(g), "sample")
+    d = di.shortest_paths(g, s)
+    p, q = s.select(F.col("pos").alias("p"), F.col("id").alias("source")), s.select(F.col("pos").alias("q"), "id")
+    pairs = p.join(q, F.col("p") < F.col("q")).join(d, ["source", "id"], "left").select("d")
+    return me.distance_summary(di.replace_infinite(pairs, []), me.DIVERSITY)
+
+
+@emb2
+def ari_nmi(g):
+    near = di.nearest_center(g, _sample(g))
+    return me.agreement(near.join(g.vertices.select("id", F.col("community").alias("label")), "id"))
+
+
+@emb
+def efficiency(g):
+    return me.efficiency(sa.round_robin(g.vertices.where("id < 20"), 50, SEED), 50)
+
+
+def _runs(g: Graph) -> DataFrame:
+    """Coverage and balance of each algorithm, k and repeat: one sample at the largest k, whose prefixes are the others."""
+    ks, rows = (10, 20), None
+    for repeat in range(2):
+        for algo, s in (("round_robin", sa.round_robin(g.vertices, max(ks), SEED + repeat)), ("random", sa.uniform(g.vertices, max(ks), SEED + repeat))):
+            s = stored(s, "sample")
+            for k in ks:
+                p = s.where(F.col("pos") < k)
+                one = me.coverage(g.vertices, p).crossJoin(me.balance(g.vertices, p)).select(F.lit(algo).alias("algo"), F.lit(k).alias("k"), F.lit(repeat).alias("repeat"), "cov", "balance_cv", "balance_entropy")
+                rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@emb2
+def compare_grid(g):
+    return _runs(g)
+
+
+@emb2
+def compare_agg(g):
+    return me.aggregate_runs(_runs(g), ["cov", "balance_cv", "balance_entropy"])
+
+
+@emb2
+def plot_series(g):
+    return sources.plot_series(me.aggregate_runs(_runs(g), ["cov", "balance_cv", "balance_entropy"]), ["cov", "balance_cv"])

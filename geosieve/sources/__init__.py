@@ -1 +1,86 @@
+"""Reading and writing graphs, weights and results; adapters from event and embedding tables to graphs."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from geosieve.graph import Graph
+
+WEIGHTS_SCHEMA = "feature_names array<string>, weights array<double>, transforms struct<log_degree: boolean, cap_percentile: double, zscore: boolean, dropped_freqs: array<string>, include_maxspeed: boolean>, tuning_info struct<best_objective: double, best_details: map<string, double>, q: double, sample_n: bigint, seed: bigint>, notes struct<score_definition: string, urban_high_score: boolean, recommended_split: string>"
+
+
+def read_graph(spark: SparkSession, path: str) -> Graph:
+    return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")).validate()
+
+
+def write_graph(graph: Graph, path: str) -> None:
+    graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(WEIGHTS_SCHEMA).option("multiLine", True).json(path)
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    weights.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_results(rows: DataFrame, path: str, kind: str = "csv") -> None:
+    """Experiment rows as one CSV file with header, or as JSON lines."""
+    out = rows.coalesce(1).write.mode("overwrite")
+    out.option("header", True).csv(path) if kind == "csv" else out.json(path)
+
+
+def seeds_folder(seeds: list[int]) -> str:
+    """seed_<a_b_...>; where the joined name is over 50 characters, seeds_<first>_to_<last>."""
+    name = "seed_" + "_".join(map(str, seeds))
+    return name if len(name) <= 50 else f"seeds_{seeds[0]}_to_{seeds[-1]}"
+
+
+def embedding_graph(spark: SparkSession, sf_dir: str, k: int = 3) -> Graph:
+    """Vertices at the first two numbers of each embedding; directed edges to the k nearest, ties by id.
+
+    The adapter is for the driver's tables of some thousand vectors: it compares all of them.
+    """
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("osmid"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"), F.col("label").alias("community"))
+    a, b = v.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")), v.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    far = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
+    near = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", far.alias("length"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("length", "dst"))
+    edges = near.withColumn("r", rank).where(F.col("r") <= k).select((F.col("src") * k + F.col("r") - 1).alias("eid"), "src", "dst", "length")
+    return Graph(v, edges)
+
+
+#: Event types and the road classes they stand for (fixed values).
+CLASSES = {"click": "residential", "view": "service", "purchase": "primary", "signup": "motorway"}
+
+
+def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users as vertices; an edge from each event's user to that of the next event by (ts, event_id).
+
+    The one window over all rows stands for reading a road table; it isn't an operator.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k")
+    speed = F.when(F.col("event_type") == "signup", "signals").when(F.col("event_type") == "view", F.concat(k, F.lit(" mph"))).otherwise(k)
+    road = F.lit(None).cast("string")
+    for kind, name in CLASSES.items():
+        road = F.when(F.col("event_type") == kind, name).otherwise(road)
+    rows = e.select(F.col("event_id").alias("eid"), F.lag("user_id").over(Window.orderBy("ts", "event_id")).alias("src"), F.col("user_id").alias("dst"), F.col("value").alias("length"), road.alias("highway"), speed.alias("maxspeed"))
+    return Graph(e.select(F.col("user_id").alias("id"), F.col("user_id").alias("osmid")).distinct(), rows.where("src IS NOT NULL"))
+
+
+def plot_series(aggregated: DataFrame, metrics: list[str]) -> DataFrame:
+    """A row for each algorithm, k and metric, ready to draw."""
+    cols = ", ".join(f"'{m}', {m}_mean, {m}_std" for m in metrics)
+    return aggregated.selectExpr("algo", "k", f"stack({len(metrics)}, {cols}) AS (metric, mean, std)").orderBy("algo", "metric", "k")
+
+
+def weights_document(names: list[str], weights: list[float], **rest) -> str:
+    return json.dumps({"feature_names": names, "weights": weights, **rest})
