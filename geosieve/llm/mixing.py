@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows that a task orders at once.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:

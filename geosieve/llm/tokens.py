@@ -15,7 +15,7 @@ import numpy as np
 from geosieve.llm.common import lean
 
 #: A generation of remembered words, and of parts of words: when it is full, the one before it is dropped.
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
 
 ODD = bytes([*range(9), *range(28, 32), 127])
 #: ASCII signs but for the apostrophe, which can open a suffix.
