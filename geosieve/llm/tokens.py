@@ -74,25 +74,23 @@ class Encoder:
         """Puts the ids of words that the newest generation doesn't hold in their places."""
         if len(self.words) >= MOST_WORDS:
             self.old_words, self.words = self.words, {}
-        old, new = self.old_words.get, self.words
-        for i, (word, got) in enumerate(zip(words, ids)):
-            if got is None:
-                if (got := new.get(word)) is None and (got := old(word)) is None:
-                    core = word.strip(SIGNS)
-                    known = self.parts.get
-                    if core.isalpha() or LETTERS.fullmatch(core):  # signs, letters, signs: the tokenizer splits exactly there
-                        if (got := known(core)) is None:
-                            got = self.part(core)
-                        if len(core) < len(word):
+        old, new, known, part = self.old_words.get, self.words, self.parts.get, self.part
+        for i in [i for i, got in enumerate(ids) if got is None]:
+            word = words[i]
+            if (got := old(word)) is None and (got := new.get(word)) is None:
+                core = word.strip(SIGNS)
+                if core.isalpha() or LETTERS.fullmatch(core):  # signs, letters, signs: the tokenizer splits exactly there
+                    if (got := known(core)) is None:
+                        got = part(core)
+                    if (n := len(core)) < len(word):
+                        if word.startswith(core):
+                            got += known(word[n:]) or part(word[n:])
+                        else:
                             at = word.find(core)
-                            for signs, front in ((word[:at], True), (word[at + len(core) :], False)):
-                                if signs:
-                                    if (more := known(signs)) is None:
-                                        more = self.part(signs)
-                                    got = more + got if front else got + more
-                    else:
-                        got = self.whole(word.decode()) if core else self.part(word)
-                new[word] = ids[i] = got
+                            got = part(word[:at]) + got + (part(word[at + n :]) if at + n < len(word) else b"")
+                else:
+                    got = self.whole(word.decode()) if core else part(word)
+            new[word] = ids[i] = got
 
     def encode(self, raw: bytes) -> np.ndarray:
         """The ids of a text given as UTF-8, as int32."""
