@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geosieve.llm.common import if_small, partitions
-from geosieve.llm.tokens import default_tokenizer, encoder, texts_of
+from geosieve.llm.tokens import batches_of, default_tokenizer, encoder, texts_of
 
 END = 1
 
@@ -28,12 +28,13 @@ def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | No
 
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         queues: dict = {}
-        tail = np.array([] if end is None else [end], np.int32)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [np.concatenate([enc.encode(x), tail]) for x in texts_of(batch["text"])]
-                sizes = np.array([len(x) for x in ids], np.int64)
+            texts = [*texts_of(whole["text"])]
+            for low, high in batches_of(texts):
+                batch = whole.slice(low, high - low)
+                flat, sizes = enc.encode_batch(texts[low:high])
+                if end is not None:
+                    flat, sizes = np.insert(flat, np.cumsum(sizes), end), sizes + 1
                 begins = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 if queue:
@@ -41,7 +42,7 @@ def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | No
                         begins[i] = queues.get(q, 0)
                         queues[q] = int(begins[i] + sizes[i])
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), pa.array(np.full(len(ids), part, np.int32)), pa.array(begins), pa.array(sizes), tokens], [*carry, "part", "start_in_part", "n_tokens", "tokens"])
 
     return run
