@@ -43,7 +43,7 @@ def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | No
                         queues[q] = int(begins[i] + sizes[i])
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), pa.array(np.full(len(ids), part, np.int32)), pa.array(begins), pa.array(sizes), tokens], [*carry, "part", "start_in_part", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), pa.array(np.full(len(sizes), part, np.int32)), pa.array(begins), pa.array(sizes), tokens], [*carry, "part", "start_in_part", "n_tokens", "tokens"])
 
     return run
 
