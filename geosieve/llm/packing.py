@@ -27,6 +27,8 @@ from geosieve.llm.tokens import default_tokenizer
 WINDOW = 2048
 #: The least tokens that a queue gives at a time, unless a document, window or queue ends.
 SLICE_TOKENS = 512
+#: Bytes of text encoded together: less than for token files, as the same task also encodes columns of ids.
+BATCH_BYTES = 3 << 19
 #: Tokens in a share: what one task holds at a time (4 bytes each).
 SHARE_TOKENS = 1 << 20
 
@@ -145,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int | None = END, w
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.mapInArrow(tokenized(tokenizer or default_tokenizer(), end, ["doc_id", "source"], "source"), "doc_id long, source string, part int, start_in_part long, n_tokens long, tokens array<int>")
+    rows = texts.mapInArrow(tokenized(tokenizer or default_tokenizer(), end, ["doc_id", "source"], "source", BATCH_BYTES), "doc_id long, source string, part int, start_in_part long, n_tokens long, tokens array<int>")
     rows = stored(rows.where("n_tokens > 0"), "pack-tokens")
     # The order of a queue: by part of the stored table, then as the part has them (start_in_part). Its sums are by (source, part).
     sums = stored(rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("_sum")), "pack-sums")

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geosieve.llm.common import if_small, partitions
-from geosieve.llm.tokens import batches_of, default_tokenizer, encoder, texts_of
+from geosieve.llm.tokens import BATCH_BYTES, batches_of, default_tokenizer, encoder, texts_of
 
 END = 1
 
 
-def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | None = None):
+def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | None = None, batch_bytes: int = BATCH_BYTES):
     """A mapInArrow function: rows with `text` become `carry`, part, start_in_part, n_tokens, tokens.
 
     start_in_part: the ids of the part's rows before this one; with `queue`, of those with the same value there.
@@ -30,7 +30,7 @@ def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | No
         queues: dict = {}
         for whole in batches:
             texts = [*texts_of(whole["text"])]
-            for low, high in batches_of(texts):
+            for low, high in batches_of(texts, batch_bytes):
                 batch = whole.slice(low, high - low)
                 flat, sizes = enc.encode_batch(texts[low:high])
                 if end is not None:

@@ -169,11 +169,11 @@ def texts_of(column) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about BATCH_BYTES each."""
+def batches_of(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes each."""
     begin, size = 0, 0
     for i, x in enumerate(texts):
-        if i > begin and size + len(x) > BATCH_BYTES:
+        if i > begin and size + len(x) > most:
             yield begin, i
             begin, size = i, 0
         size += len(x)
