@@ -47,3 +47,38 @@ def replace_infinite(rows: DataFrame, scope: list[str], column: str = "d") -> Da
     """Null distances become 10 times the largest of their scope, 10 where it has none."""
     top = F.max(column).over(Window.partitionBy(*scope)) if scope else F.max(column).over(Window.partitionBy(F.lit(0)))
     return rows.withColumn(column, F.coalesce(column, 10 * F.coalesce(top, F.lit(1.0))))
+
+
+def betweenness(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """(id, betweenness): shortest paths between other vertices that pass each one, ties shared; each pair counts once.
+
+    From every source (all, unless given; then their sums alone) the steps of shortest paths form a net without
+    circles. Paths are counted by sending counts along it until none moves on: what arrives after t steps are the
+    paths of t steps. Dependencies go back the same way. Edges of length 0 carry no path.
+    """
+    net = stored(symmetric(graph.edges), "net")
+    d = shortest_paths(graph, graph.vertices.select("id") if sources is None else sources)
+    near, far = d.select("source", F.col("id").alias("src"), F.col("d").alias("du")), d.select("source", F.col("id").alias("dst"), F.col("d").alias("dv"))
+    tight = (F.col("dv") > F.col("du")) & (F.abs(F.col("du") + F.col("length") - F.col("dv")) <= 1e-9 * F.col("dv"))
+    steps = stored(near.join(net, "src").join(far, ["source", "dst"]).where(tight).select("source", "src", "dst"), "steps")
+
+    def gathered(front: DataFrame, along: DataFrame, start: str, end: str, value) -> DataFrame:
+        """Sum by (source, id) of all that passes, the start included."""
+        parts = [front]
+        while True:
+            front = stored(front.withColumnRenamed("id", start).join(along, ["source", start]).groupBy("source", F.col(end).alias("id")).agg(F.sum(value).alias("v")), "front")
+            if front.limit(1).count() == 0:
+                whole = parts[0]
+                for x in parts[1:]:
+                    whole = whole.unionByName(x)
+                return stored(whole.groupBy("source", "id").agg(F.sum("v").alias("v")), "front")
+            parts.append(front)
+
+    begin = d.where("source = id").select("source", "id", F.lit(1.0).alias("v"))
+    paths = gathered(begin, steps, "src", "dst", F.col("v"))
+    up, down = paths.select("source", F.col("id").alias("src"), F.col("v").alias("pu")), paths.select("source", F.col("id").alias("dst"), F.col("v").alias("pv"))
+    shares = stored(steps.join(up, ["source", "src"]).join(down, ["source", "dst"]).select("source", "src", "dst", (F.col("pu") / F.col("pv")).alias("share")), "steps")
+    every = d.select("source", "id", F.lit(1.0).alias("v"))
+    through = gathered(every, shares, "dst", "src", F.col("v") * F.col("share")).where("source <> id")
+    sums = through.groupBy("id").agg((F.sum(F.col("v") - 1) / 2).alias("betweenness"))
+    return graph.vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geosieve.graph import Graph
+from geosieve.operators.distances import nearest_center, replace_infinite, shortest_paths
+from geosieve.plans.storage import stored
+
 
 def coverage(vertices: DataFrame, sample: DataFrame, legacy: bool = False) -> DataFrame:
     """Communities with a sampled vertex by all of them. -1 counts in neither; with `legacy`, above the line."""
@@ -55,3 +59,24 @@ def aggregate_runs(rows: DataFrame, metrics: list[str]) -> DataFrame:
     clean = lambda m: F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double"))
     out = [f(m) for m in metrics for f in (lambda m: F.avg(clean(m)).alias(f"{m}_mean"), lambda m: F.coalesce(F.stddev_pop(clean(m)), F.lit(0.0)).alias(f"{m}_std"))]
     return rows.groupBy("algo", "k").agg(*out)
+
+
+def pair_distances(graph: Graph, sample: DataFrame) -> DataFrame:
+    """(p, q, d) of each two positions of a sample; d is null where no path is."""
+    d = shortest_paths(graph, sample)
+    p, q = sample.select(F.col("pos").alias("p"), F.col("id").alias("source")), sample.select(F.col("pos").alias("q"), "id")
+    return p.join(q, F.col("p") < F.col("q")).join(d, ["source", "id"], "left").select("p", "q", "d")
+
+
+def evaluate(graph: Graph, sample: DataFrame) -> DataFrame:
+    """All measures of a sample (pos, id) in one row; of an empty one: coverage 0, infinite distances, diversity 0, the rest missing."""
+    sample = stored(sample.select("pos", "id"), "sample")
+    if sample.limit(1).count() == 0:
+        full = graph.vertices.where("community <> -1").agg(F.count_distinct("community").alias("n_comm_full"))
+        far = [F.lit(float("inf")).alias(c) for c in GLOBAL]
+        return full.select("n_comm_full", F.lit(0).alias("n_comm_repr"), F.lit(0.0).alias("cov"), F.lit(float("nan")).alias("balance_cv"), F.lit(float("nan")).alias("balance_entropy"), *far, *(F.lit(0.0).alias(c) for c in DIVERSITY), F.lit(None).cast("double").alias("ari"), F.lit(None).cast("double").alias("nmi"))
+    near = stored(nearest_center(graph, sample), "near")
+    rows = coverage(graph.vertices, sample).crossJoin(balance(graph.vertices, sample))
+    rows = rows.crossJoin(distance_summary(replace_infinite(near, []), GLOBAL))
+    rows = rows.crossJoin(distance_summary(replace_infinite(pair_distances(graph, sample), []), DIVERSITY))
+    return rows.crossJoin(agreement(near.join(graph.vertices.select("id", F.col("community").alias("label")), "id")))

@@ -46,17 +46,18 @@ def round_robin(vertices: DataFrame, k: int, seed: int, order: DataFrame | None
     return first.select((F.row_number().over(Window.orderBy("cycle", "r", "place")) - 1).alias("pos"), "id")
 
 
-def farthest_first(graph: Graph, k: int, degree: DataFrame) -> DataFrame:
+def farthest_first(graph: Graph, k: int, degree: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Starts at the largest degree; then again and again the vertex farthest from all chosen ones. Ties by id.
 
     Each choice is one relaxation from the new vertex alone; the running minimum is a column. Vertices that nothing
-    reaches are farther than all.
+    reaches are farther than all. With `among`, only its ids are chosen.
     """
-    start = graph.vertices.select("id").join(degree, "id", "left").orderBy(F.coalesce("degree", F.lit(0)).desc(), "id").first()["id"]
+    pool = graph.vertices.select("id") if among is None else among.select("id")
+    start = pool.join(degree, "id", "left").orderBy(F.coalesce("degree", F.lit(0)).desc(), "id").first()["id"]
     chosen, near = [start], None
     spark = graph.vertices.sparkSession
     while len(chosen) < k:
-        d = nearest_center(graph, spark.createDataFrame([(0, chosen[-1])], "pos long, id long")).select("id", "d")
+        d = nearest_center(graph, spark.createDataFrame([(0, chosen[-1])], "pos long, id long")).select("id", "d").join(pool, "id", "left_semi")
         near = stored(d if near is None else near.join(d.withColumnRenamed("d", "n"), "id").select("id", F.least("d", "n").alias("d")), "farthest")
         far = near.where(~F.col("id").isin(chosen)).orderBy(F.col("d").desc_nulls_first(), "id").first()
         if far is None:
@@ -84,6 +85,16 @@ def city_order(matrix: DataFrame, reps: DataFrame) -> DataFrame:
     return spark.createDataFrame(list(enumerate(order)), "city_pos long, id long").join(reps.select("id", "community"), "id").select("city_pos", "community")
 
 
+def city_order_streaming(graph: Graph, degree: DataFrame, cities: int) -> DataFrame:
+    """(city_pos, community) of the first `cities` communities by graph distance, with one relaxation for each chosen one.
+
+    No matrix of representatives is made: what is kept is each one's distance to the nearest chosen. -1 is no community.
+    """
+    reps = stored(community_representatives(graph.vertices, degree), "reps")
+    order = farthest_first(graph, cities, degree, reps)
+    return order.join(reps.select("id", "community"), "id").select(F.col("pos").alias("city_pos"), "community")
+
+
 def hybrid(vertices: DataFrame, k: int, seed: int, order: DataFrame) -> DataFrame:
     """Round robin over communities in the order of farthest-first traversal, the first k of them at most."""
     return round_robin(vertices, k, seed, order.where(F.col("city_pos") < k))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +11,9 @@ from geosieve.plans.storage import stored
 
 #: Order of the matrix, and signed ranges of the search (fixed values).
 FEATURES = ("log_degree", "clustering", "freq_residential", "avg_edge_len", "freq_motorway", "avg_maxspeed")
-RANGES = {"log_degree": (0.0, 1.0), "clustering": (0.0, 1.0), "freq_residential": (0.0, 1.0), "avg_edge_len": (-1.0, 0.0), "freq_motorway": (-1.0, 0.0), "avg_maxspeed": (-1.0, 0.0)}
+RANGES = {"log_degree": (0.6, 1.8), "clustering": (0.1, 1.0), "freq_residential": (0.2, 1.6), "avg_edge_len": (-1.8, -0.2), "freq_motorway": (-1.6, -0.1), "avg_maxspeed": (-1.8, -0.2)}
+#: How each difference between the top and bottom counts, and what a wrong sign costs (fixed values).
+PARTS = {"log_degree": (1.0, 5.0), "freq_residential": (0.8, 3.0), "clustering": (0.25, 0.0), "avg_edge_len": (-0.8, 3.0), "freq_motorway": (-0.6, 3.0), "avg_maxspeed": (-0.5, 2.0)}
 
 
 def winsorized(rows: DataFrame, columns: list[str], p: float = 0.995) -> DataFrame:
@@ -86,3 +88,38 @@ def drop_rural(labelled: DataFrame) -> DataFrame:
     """(id, label, score) without the cluster of lowest mean score; noise (-1) stays."""
     low = labelled.where("label <> -1").groupBy("label").agg(F.avg("score").alias("m")).orderBy("m", "label").limit(1).select("label")
     return labelled.join(F.broadcast(low), "label", "left_anti")
+
+
+def drawn_weights(spark: SparkSession, trials: int, seed: int) -> DataFrame:
+    """(trial, w): weights in RANGES from md5 of seed, trial and feature, of length 1; in the order of FEATURES."""
+    t = spark.range(trials).select(F.col("id").alias("trial"))
+    part = lambda c: F.conv(F.substring(draw(seed, F.col("trial"), F.lit(c)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    raw = t.select("trial", *((RANGES[c][0] + (RANGES[c][1] - RANGES[c][0]) * part(c)).alias(c) for c in FEATURES))
+    norm = F.sqrt(sum((F.col(c) * F.col(c) for c in FEATURES), F.lit(0.0))) + 1e-8
+    return raw.select("trial", F.array(*(F.col(c) / norm for c in FEATURES)).alias("w"))
+
+
+def separation(z: DataFrame, weights: DataFrame, q: float = 0.2) -> DataFrame:
+    """(trial, objective, d_<feature>): how far top and bottom q of the score lie apart, for each weight vector.
+
+    `weights` is a stated set of trials (some hundred rows, made by the driver), each of which scores all rows; it is
+    what is sent to the tasks. Cuts are exact percentiles of each trial, ends included.
+    """
+    made = sum((F.col(c) * F.get("w", F.lit(i)) for i, c in enumerate(FEATURES)), F.lit(0.0))
+    s = z.crossJoin(F.broadcast(weights)).select("trial", *FEATURES, made.alias("s"))
+    cuts = s.groupBy("trial").agg(F.expr(f"percentile(s, array({q}, {1 - q}))").alias("cut"))
+    top, bottom = F.col("s") >= F.get("cut", F.lit(1)), F.col("s") <= F.get("cut", F.lit(0))
+    d = s.join(F.broadcast(cuts), "trial").groupBy("trial").agg(*((F.avg(F.when(top, F.col(c))) - F.avg(F.when(bottom, F.col(c)))).alias(f"d_{c}") for c in FEATURES))
+    cost = F.lit(0.0)
+    for c, (sign, penalty) in PARTS.items():
+        wrong = F.col(f"d_{c}") < 0 if sign > 0 else F.col(f"d_{c}") > 0
+        cost = cost + sign * F.col(f"d_{c}") - F.when(wrong, penalty).otherwise(0.0)
+    return d.select("trial", cost.alias("objective"), *(f"d_{c}" for c in FEATURES))
+
+
+def tuned_weights(z: DataFrame, trials: int = 800, sample: int = 80_000, q: float = 0.2, seed: int = 0) -> DataFrame:
+    """The drawn weights of the best objective, first on ties: trial, objective, FEATURES as weights. Over a sample of rows."""
+    rows = stored(sample_rows(z, sample, seed), "tuning")
+    weights = stored(drawn_weights(z.sparkSession, trials, seed), "tuning")
+    best = separation(rows, weights, q).orderBy(F.round("objective", 9).desc(), "trial").limit(1)
+    return best.join(weights, "trial").select("trial", "objective", *(F.get("w", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)))

@@ -83,6 +83,35 @@ def _runs() -> str:
 
 _AGG = "agg AS (SELECT algo, k, " + ", ".join(f"avg({m}) AS {m}_mean, coalesce(stddev_pop({m}), 0) AS {m}_std" for m in ("cov", "balance_cv", "balance_entropy")) + " FROM runs GROUP BY algo, k)"
 
+_CREPS = "reps AS (SELECT community, id, x, y, degree FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS n FROM ev JOIN deg USING (id) WHERE community <> -1) WHERE n = 1)"
+
+
+def _farthest(pool: str, matrix: str, k: str) -> str:
+    """fo (step, id): farthest-first over a pool (id, degree) and distances (a, b, d); what isn't reached is farthest."""
+    return f"""fp AS ({pool}), fm AS ({matrix}), fr AS (WITH RECURSIVE o(step, ids) AS (SELECT 0, [arg_max(id, (degree, -id))] FROM fp UNION ALL
+ SELECT step + 1, list_append(ids, arg_max(id, (near, -id))) FROM (SELECT o.step, o.ids, c.id, min(coalesce(m.d, 'inf'::DOUBLE)) AS near FROM o, unnest(o.ids) AS u(f), fp c LEFT JOIN fm m ON m.a = u.f AND m.b = c.id WHERE NOT list_contains(o.ids, c.id) AND o.step + 1 < {k} GROUP BY ALL) GROUP BY step, ids)
+ SELECT * FROM o), fo AS (SELECT len(ids) - 1 AS step, ids[len(ids)] AS id FROM fr)"""
+
+
+_RING = f"SELECT a.id AS a, b.id AS b, {_FAR} AS d FROM reps a JOIN reps b ON a.id <> b.id"
+_ALL = "SELECT s AS a, id AS b, d FROM pth"
+_CORES = f"near AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON {_FAR} <= 0.05::DOUBLE), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 10), cl AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), lab AS (WITH RECURSIVE r(id, label) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT e.b, min(r.label) FROM r JOIN cl e ON e.a = r.id JOIN recurring.r o ON o.id = e.b WHERE r.label < o.label GROUP BY e.b) SELECT * FROM r)"
+_RANGES = {"log_degree": (0.6, 1.2), "clustering": (0.1, 0.9), "freq_residential": (0.2, 1.4), "avg_edge_len": (-1.8, 1.6), "freq_motorway": (-1.6, 1.5), "avg_maxspeed": (-1.8, 1.6)}
+
+
+def _trials(n: int) -> str:
+    """tj (trial, objective, d_<feature>, w_<feature>) of n drawn weight vectors; ranges as (start, width)."""
+    raw = ", ".join(f"{a}::DOUBLE + {w}::DOUBLE * (('0x' || md5('7:' || trial || ':{c}')[1:8])::BIGINT / 4294967296.0::DOUBLE) AS w_{c}" for c, (a, w) in _RANGES.items())
+    unit = ", ".join(f"w_{c} / (sqrt(" + " + ".join(f"w_{x} * w_{x}" for x in _F) + f") + 1e-8::DOUBLE) AS w_{c}" for c in _F)
+    delta = ", ".join(f"avg({c}) FILTER (s >= hi) - avg({c}) FILTER (s <= lo) AS d_{c}" for c in _F)
+    score = " + ".join(f"{c} * w_{c}" for c in _F)
+    return f"""tw AS MATERIALIZED (SELECT trial, {unit} FROM (SELECT trial, {raw} FROM range({n}) t(trial))), sc AS MATERIALIZED (SELECT trial, {", ".join(_F)}, {score} AS s FROM z, tw),
+ct AS (SELECT trial, quantile_cont(s, 0.2) AS lo, quantile_cont(s, 0.8) AS hi FROM sc GROUP BY trial), dl AS (SELECT trial, {delta} FROM sc JOIN ct USING (trial) GROUP BY trial),
+tj AS (SELECT *, d_log_degree + 0.8::DOUBLE * d_freq_residential + 0.25::DOUBLE * d_clustering - 0.8::DOUBLE * d_avg_edge_len - 0.6::DOUBLE * d_freq_motorway - 0.5::DOUBLE * d_avg_maxspeed - 5 * (d_log_degree < 0)::INT - 3 * (d_freq_residential < 0)::INT - 3 * (d_avg_edge_len > 0)::INT - 3 * (d_freq_motorway > 0)::INT - 2 * (d_avg_maxspeed > 0)::INT AS objective FROM dl JOIN tw USING (trial))"""
+
+
+
+
 ORACLES: dict[str, str] = {
     "edge_speeds": evt("SELECT eid, round(coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER ()), 6) AS speed_kph FROM ts"),
     "edge_travel_times": evt("SELECT eid, round(length / 1000 / nullif(coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER ()), 0) * 3600, 6) AS travel_time FROM ts"),
@@ -137,4 +166,17 @@ ORACLES: dict[str, str] = {
     "compare_grid": emb("SELECT algo, k, repeat, " + _r("cov", "balance_cv", "balance_entropy") + " FROM runs", _runs()),
     "compare_agg": emb("SELECT algo, k, " + _r(*(f"{m}_{x}" for m in ("cov", "balance_cv", "balance_entropy") for x in ("mean", "std"))) + " FROM agg", _runs(), _AGG),
     "plot_series": emb("SELECT algo, k, 'cov' AS metric, round(cov_mean, 6) AS mean, round(cov_std, 6) AS std FROM agg UNION ALL SELECT algo, k, 'balance_cv', round(balance_cv_mean, 6), round(balance_cv_std, 6) FROM agg", _runs(), _AGG),
+    "fft_nodes": emb("SELECT step::BIGINT AS pos, id FROM fo", _paths("SELECT id FROM ev"), _farthest("SELECT id, degree FROM deg", _ALL, "4")),
+    "fft_order_matrix": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _farthest("SELECT id, degree FROM reps", _RING, "(SELECT count(*) FROM fp)")),
+    "fft_city_order": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _paths("SELECT id FROM reps"), _farthest("SELECT id, degree FROM reps", _ALL, "(SELECT count(*) FROM fp)")),
+    "fft_city_stream": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _paths("SELECT id FROM reps"), _farthest("SELECT id, degree FROM reps", _ALL, "3")),
+    "hybrid": emb("SELECT pos, id FROM sample", _CREPS, _farthest("SELECT id, degree FROM reps", _RING, "(SELECT count(*) FROM fp)"), _rr("SELECT ev.id, community, step AS city_pos FROM ev JOIN (SELECT step, community FROM fo JOIN reps USING (id)) USING (community)", 25, 7, "city_pos")),
+    "betweenness": emb("SELECT ev.id, coalesce(n, 0)::DOUBLE AS betweenness FROM ev LEFT JOIN (SELECT a.id, count(*) AS n FROM pth a JOIN pth b ON b.s = a.id JOIN pth c ON c.s = a.s AND c.id = b.id WHERE a.s < b.id AND a.id <> a.s AND a.id <> b.id AND abs(a.d + b.d - c.d) <= 1e-9 * c.d GROUP BY a.id) p ON p.id = ev.id", _paths("SELECT id FROM ev")),
+    "dbscan": emb("SELECT ev.id, coalesce(lab.label, b.label, -1) AS label FROM ev LEFT JOIN lab ON lab.id = ev.id LEFT JOIN (SELECT near.a AS id, min(label) AS label FROM near JOIN lab ON lab.id = near.b GROUP BY 1) b ON b.id = ev.id", _CORES),
+    "objective_separation": evt("SELECT trial, " + _r("objective", *(f"d_{c}" for c in _F)) + " FROM tj", _trials(20)),
+    "tune_weights": evt("SELECT trial, round(objective, 6) AS objective, " + ", ".join(f"round(w_{c}, 6) AS {c}" for c in _F) + " FROM tj ORDER BY round(objective, 9) DESC, trial LIMIT 1", _trials(100)),
+    "evaluate_empty": emb("SELECT count(DISTINCT community) AS n_comm_full, 0::BIGINT AS n_comm_repr, 0::DOUBLE AS cov, 'nan'::DOUBLE AS balance_cv, 'nan'::DOUBLE AS balance_entropy, 'inf'::DOUBLE AS global_R_max, 'inf'::DOUBLE AS global_mean, 'inf'::DOUBLE AS global_median, 'inf'::DOUBLE AS global_p90, 0::DOUBLE AS div_min_sep, 0::DOUBLE AS div_mean, 0::DOUBLE AS div_median, 0::DOUBLE AS div_p10, 0::DOUBLE AS div_p90, NULL::DOUBLE AS ari, NULL::DOUBLE AS nmi FROM ev WHERE community <> -1"),
 }
+
+_PARTS = ("community_coverage", "balance", "global_coverage", "diversity", "ari_nmi")
+ORACLES["evaluate_sample"] = "SELECT * FROM " + ", ".join(f"({ORACLES[p]})" for p in _PARTS)

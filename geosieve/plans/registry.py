@@ -13,15 +13,17 @@ from geosieve.graph import Graph, incident, induced, undirected_min
 from geosieve.operators import communities as co
 from geosieve.operators import connectivity as cn
 from geosieve.operators import construct as ct
+from geosieve.operators import density as de
 from geosieve.operators import distances as di
 from geosieve.operators import features as fe
+from geosieve.operators import leiden as le
 from geosieve.operators import metrics as me
 from geosieve.operators import samplers as sa
 from geosieve.operators import scoring as sc
 from geosieve.plans.oracles import ORACLES  # noqa: F401
 from geosieve.plans.storage import stored
 
-K, SEED = 25, 7
+K, SEED, EPS = 25, 7, 0.05
 WEIGHTS = {"log_degree": 0.6, "clustering": 0.3, "freq_residential": 0.4, "avg_edge_len": -0.3, "freq_motorway": -0.4, "avg_maxspeed": -0.2}
 QUERIES: dict = {}
 
@@ -210,9 +212,45 @@ def rural_prune(g):
     return sc.drop_rural(g.vertices.select("id", F.col("community").alias("label"), F.col("x").alias("score"))).select("id", "label")
 
 
+@evt2
+def objective_separation(g):
+    z = stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z")
+    return sc.separation(z, stored(sc.drawn_weights(z.sparkSession, 20, SEED), "weights"))
+
+
+@evt2
+def tune_weights(g):
+    return sc.tuned_weights(stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z"), 100, seed=SEED)
+
+
+@evt2
+def pca_score(g):
+    z = stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z")
+    return de.principal_score(z, sc.FEATURES, "log_degree")
+
+
+@emb
+def dbscan(g):
+    return de.density_clusters(g.vertices.select("id", "x", "y"), EPS, 10)
+
+
 # --- communities
 
 
+def _strengths(g: Graph) -> DataFrame:
+    return undirected_min(g.edges).where("a <> b").select("a", "b", edge_strength(F.col("length")).alias("weight"))
+
+
+@emb2
+def leiden(g):
+    return le.leiden(g.vertices, _strengths(g), (0.5,), "modularity").select("id", "community")
+
+
+@emb2
+def leiden_sweep(g):
+    return le.sweep(le.leiden(g.vertices, _strengths(g), le.GAMMAS["modularity"], "modularity"))
+
+
 @emb
 def edge_strengths(g):
     return g.edges.select("eid", edge_strength(F.col("length")).alias("strength"))
@@ -220,8 +258,7 @@ def edge_strengths(g):
 
 @emb2
 def modularity(g):
-    e = undirected_min(g.edges).where("a <> b").select("a", "b", edge_strength(F.col("length")).alias("weight"))
-    return co.modularity(e, g.vertices)
+    return co.modularity(_strengths(g), g.vertices)
 
 
 @emb
@@ -295,6 +332,11 @@ def pairwise_distances(g):
     return di.shortest_paths(g, g.vertices.where("id < 5").select("id"))
 
 
+@emb2
+def betweenness(g):
+    return di.betweenness(g)
+
+
 @emb2
 def replace_infinite(g):
     d = di.nearest_center(g, g.vertices.where("id = 0").select(F.lit(0).alias("pos"), "id"))
@@ -350,6 +392,22 @@ def fft_order_matrix(g):
     return _order(g)
 
 
+def _graph_matrix(g: Graph, reps: DataFrame) -> DataFrame:
+    d = di.shortest_paths(g, reps)
+    return d.join(reps.select("id"), "id", "left_semi").select(F.col("source").alias("a"), F.col("id").alias("b"), "d")
+
+
+@emb2
+def fft_city_order(g):
+    reps = stored(sa.community_representatives(g.vertices, degrees(g)), "reps")
+    return sa.city_order(_graph_matrix(g, reps), reps)
+
+
+@emb2
+def fft_city_stream(g):
+    return sa.city_order_streaming(g, degrees(g), 3)
+
+
 @emb2
 def hybrid(g):
     return sa.hybrid(g.vertices, K, SEED, _order(g))
@@ -384,11 +442,17 @@ def balance(g):
 
 @emb2
 def diversity(g):
-    s = stored(_sample(g), "sample")
-    d = di.shortest_paths(g, s)
-    p, q = s.select(F.col("pos").alias("p"), F.col("id").alias("source")), s.select(F.col("pos").alias("q"), "id")
-    pairs = p.join(q, F.col("p") < F.col("q")).join(d, ["source", "id"], "left").select("d")
-    return me.distance_summary(di.replace_infinite(pairs, []), me.DIVERSITY)
+    return me.distance_summary(di.replace_infinite(me.pair_distances(g, stored(_sample(g), "sample")), []), me.DIVERSITY)
+
+
+@emb2
+def evaluate_sample(g):
+    return me.evaluate(g, _sample(g))
+
+
+@emb
+def evaluate_empty(g):
+    return me.evaluate(g, _sample(g).where("false"))
 
 
 @emb2
