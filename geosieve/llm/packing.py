@@ -27,9 +27,9 @@ from geosieve.llm.tokens import default_tokenizer
 WINDOW = 2048
 #: The least tokens that a queue gives at a time, unless a document, window or queue ends.
 SLICE_TOKENS = 512
-#: Bytes of text encoded together: less than for token files, as the same task also encodes columns of ids.
-BATCH_BYTES = 3 << 19
-#: Tokens in a share: what one task holds at a time (4 bytes each).
+#: Bytes of text encoded together: less than for token files, as tasks here also hold shares.
+BATCH_BYTES = 4 << 20
+#: Tokens in a share: what one task holds at a time (2 or 4 bytes each).
 SHARE_TOKENS = 1 << 20
 
 
@@ -52,19 +52,17 @@ def _cut(shares: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                tokens = batch["tokens"]
-                flat, bounds = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
                 out: list[tuple] = []
-                names = ("doc_id", "source_no", "position", "queue_tokens")
-                for a, b, doc, source, position, n in zip(bounds[:-1], bounds[1:], *(batch[c].to_pylist() for c in names)):
-                    begin, size = 0, int(b - a)
+                names = ("tokens", "n_tokens", "doc_id", "source_no", "position", "queue_tokens")
+                for tokens, size, doc, source, position, n in zip(*(batch[c].to_pylist() for c in names)):
+                    begin, width = 0, len(tokens) // size
                     while begin < size:
                         k = share_of(position + begin, n, shares)
                         stop = min(size, (2 * n * (k + 1) + shares) // (2 * shares) - position)
-                        out.append((k, source, position + begin, doc, begin, size, flat[a + begin : a + stop].astype("<u4").tobytes()))
+                        out.append((k, source, position + begin, doc, begin, size, tokens[width * begin : width * stop], width))
                         begin = stop
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["share", "source_no", "position", "doc_id", "start", "doc_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["share", "source_no", "position", "doc_id", "start", "doc_tokens", "ids", "width"])
 
     return run
 
@@ -105,7 +103,9 @@ def _fill(sizes: dict[int, int], shares: int, total: int, window: int, slice_tok
         sources = rows["source_no"].to_numpy()
         docs, starts, doc_tokens, ids = (rows[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))
         names, firsts = np.unique(sources, return_index=True)
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        wide = rows["width"][0].as_py()  # bytes of an id, the same for all
+        kind = np.dtype(f"<u{wide}")
+        lengths = np.array([len(x) // wide for x in ids], np.int64)
         queues = [int(x) for x in np.add.reduceat(lengths, firsts)]
         row, used = [int(x) for x in firsts], [0] * len(names)
         out: list[tuple] = []
@@ -124,7 +124,8 @@ def _fill(sizes: dict[int, int], shares: int, total: int, window: int, slice_tok
                             break
                         sequence, offset = sequence + 1, offset - p
                 size = min(size, room)
-                out.append((docs[r], starts[r] + u, size, zlib.crc32(ids[r][4 * u : 4 * (u + size)]), doc_tokens[r], sequence, offset, int(names[q]), ids[r][4 * u : 4 * (u + size)]))
+                piece = np.frombuffer(ids[r], kind, size, wide * u).astype("<u4").tobytes()
+                out.append((docs[r], starts[r] + u, size, zlib.crc32(piece), doc_tokens[r], sequence, offset, int(names[q]), piece))
                 at, take, used[q] = at + size, take - size, u + size
                 if used[q] == lengths[r]:
                     row[q], used[q] = r + 1, 0
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int | None = END, w
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.mapInArrow(tokenized(tokenizer or default_tokenizer(), end, ["doc_id", "source"], "source", BATCH_BYTES), "doc_id long, source string, part int, start_in_part long, n_tokens long, tokens array<int>")
+    rows = texts.mapInArrow(tokenized(tokenizer or default_tokenizer(), end, ["doc_id", "source"], "source", BATCH_BYTES, as_bytes=True), "doc_id long, source string, part int, start_in_part long, n_tokens long, tokens binary")
     rows = stored(rows.where("n_tokens > 0"), "pack-tokens")
     # The order of a queue: by part of the stored table, then as the part has them (start_in_part). Its sums are by (source, part).
     sums = stored(rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("_sum")), "pack-sums")
@@ -161,6 +162,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int | None = END, w
     begins = begins.alias("b").join(totals.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("_source"), F.col("part").alias("_part"), "_begin", "source_no", "queue_tokens")
     shares = max(1, -(-total // share_tokens))
     joined = rows.join(if_small(begins), (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
-    cut = joined.select("doc_id", "source_no", (F.col("_begin") + F.col("start_in_part")).alias("position"), "queue_tokens", "tokens").mapInArrow(_cut(shares), "share long, source_no long, position long, doc_id long, start long, doc_tokens long, ids binary")
+    cut = joined.select("doc_id", "source_no", (F.col("_begin") + F.col("start_in_part")).alias("position"), "queue_tokens", "n_tokens", "tokens").mapInArrow(_cut(shares), "share long, source_no long, position long, doc_id long, start long, doc_tokens long, ids binary, width long")
     return cut.groupBy("share").applyInArrow(_fill(sizes, shares, total, window, slice_tokens), ", ".join(f"{c} {t}" for c, t in FIELDS.items()))
 

@@ -16,10 +16,11 @@ from geosieve.llm.tokens import BATCH_BYTES, batches_of, default_tokenizer, enco
 END = 1
 
 
-def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | None = None, batch_bytes: int = BATCH_BYTES):
+def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | None = None, batch_bytes: int = BATCH_BYTES, as_bytes: bool = False):
     """A mapInArrow function: rows with `text` become `carry`, part, start_in_part, n_tokens, tokens.
 
     start_in_part: the ids of the part's rows before this one; with `queue`, of those with the same value there.
+    as_bytes: tokens are little-endian bytes, two an id where the vocabulary allows it, else four.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -28,6 +29,7 @@ def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | No
 
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         queues: dict = {}
+        kind = enc.kind if end is None or end < 1 << 16 else np.dtype("<u4")
         for whole in batches:
             texts = [*texts_of(whole["text"])]
             for low, high in batches_of(texts, batch_bytes):
@@ -41,8 +43,12 @@ def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | No
                     for i, q in enumerate(batch[queue].to_pylist()):
                         begins[i] = queues.get(q, 0)
                         queues[q] = int(begins[i] + sizes[i])
-                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                if as_bytes:
+                    places = pa.py_buffer((bounds * kind.itemsize).astype(np.int32))
+                    tokens = pa.Array.from_buffers(pa.binary(), len(sizes), [None, places, pa.py_buffer(flat.astype(kind))])
+                else:
+                    tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), pa.array(np.full(len(sizes), part, np.int32)), pa.array(begins), pa.array(sizes), tokens], [*carry, "part", "start_in_part", "n_tokens", "tokens"])
 
     return run
