@@ -112,6 +112,16 @@ tj AS (SELECT *, d_log_degree + 0.8::DOUBLE * d_freq_residential + 0.25::DOUBLE
 
 
 
+def _forest(edges: str) -> str:
+    """mst (a, b, weight): edges between whose ends no path of lesser ones (weight, a, b) leads."""
+    return f"""me AS MATERIALIZED ({edges}), ms AS (SELECT a AS src, b AS dst, a, b, weight FROM me UNION ALL SELECT b, a, a, b, weight FROM me),
+mr AS (WITH RECURSIVE r(a, b, weight, id) AS (SELECT a, b, weight, a FROM me UNION SELECT r.a, r.b, r.weight, ms.dst FROM r JOIN ms ON ms.src = r.id WHERE (ms.weight, ms.a, ms.b) < (r.weight, r.a, r.b)) SELECT * FROM r),
+mst AS (SELECT a, b, weight FROM me WHERE NOT EXISTS (SELECT 1 FROM mr WHERE mr.a = me.a AND mr.b = me.b AND mr.id = me.b))"""
+
+
+_PLACED = "reps AS (SELECT component, id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 12), id) AS n FROM (SELECT id, x, y, component, avg(x) OVER (PARTITION BY component) AS mx, avg(y) OVER (PARTITION BY component) AS my FROM ev JOIN comp USING (id))) WHERE n = 1)"
+
+
 ORACLES: dict[str, str] = {
     "edge_speeds": evt("SELECT eid, round(coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER ()), 6) AS speed_kph FROM ts"),
     "edge_travel_times": evt("SELECT eid, round(length / 1000 / nullif(coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER ()), 0) * 3600, 6) AS travel_time FROM ts"),
@@ -146,6 +156,9 @@ ORACLES: dict[str, str] = {
     "connected_components": emb("SELECT id, component FROM comp", _COMP),
     "component_reps": emb("SELECT component, id FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 12), id) AS n FROM (SELECT id, x, y, component, avg(x) OVER (PARTITION BY component) AS mx, avg(y) OVER (PARTITION BY component) AS my FROM ev JOIN comp USING (id))) WHERE n = 1", _COMP),
     "knn_reps": emb(f"SELECT a, b, round(d * 1.5::DOUBLE, 6) AS weight FROM (SELECT a.id AS a, b.id AS b, {_FAR} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_FAR}, b.id) AS n FROM reps a JOIN reps b ON a.id <> b.id) WHERE n < 4", _REPS),
+    "mst_edges": emb("SELECT count(*) AS n, round(sum(weight), 6) AS weight FROM mst", _forest("SELECT a, b, length AS weight FROM und WHERE a <> b")),
+    # Up to ten components, whose representatives are all near each other's.
+    "connect_components": emb("SELECT a AS src, b AS dst, round(weight, 6) AS length, 'virtual' AS type FROM mst", _COMP, _PLACED, _forest(f"SELECT a.id AS a, b.id AS b, {_FAR} * 1.5::DOUBLE AS weight FROM reps a JOIN reps b ON a.id < b.id")),
     "bridge_forest": emb("SELECT a, b, round(sqrt((x - px) * (x - px) + (y - py) * (y - py)) * 2.0::DOUBLE, 6) AS weight FROM (SELECT lag(id) OVER (ORDER BY id) AS a, id AS b, x, y, lag(x) OVER (ORDER BY id) AS px, lag(y) OVER (ORDER BY id) AS py FROM reps) WHERE a IS NOT NULL", _REPS),
     "sssp": emb("SELECT id, round(d, 6) AS d FROM pth", _paths("SELECT id FROM ev WHERE id = 0")),
     "pairwise_distances": emb("SELECT s AS source, id, round(d, 6) AS d FROM pth", _paths("SELECT id FROM ev WHERE id < 5")),
