@@ -1,13 +1,10 @@
 """Winnowing fingerprints. DataFrame functions only.
 
-A text's units are its words between ASCII white space; a character of a script that writes no spaces is a unit by
-itself. A k-gram is `k` units, its hash XXH64 over theirs. Every window of `w` following k-grams selects the one of
-least hash, the rightmost of equals; the selected (hash, position) pairs are the fingerprint. So two texts that share
-k + w - 1 units in a row share a selected hash (the match guarantee), and positions say where. A text with fewer
-k-grams than a window holds selects from those it has; one of fewer than k units is one k-gram as it is.
-
-Units are words because k-grams at every byte cost seven times the CPU time here and find the same: nearly all edits
-keep or break whole words.
+A text's units are the bytes of its UTF-8. A k-gram is `k` bytes, its hash XXH64 over them; one begins at every byte.
+Every window of `w` following k-grams selects the one of least hash, the rightmost of equals; the selected (hash,
+position) pairs are the fingerprint. So two texts that share k + w - 1 bytes in a row share a selected hash (the match
+guarantee), and positions say where. A text with fewer k-grams than a window holds selects from those it has; one of
+fewer than k bytes is one k-gram as it is.
 
 A hash and its place are one number: the hash's upper 48 bits, then 65535 minus the place in its block, so that the
 least number is the least hash with rightmost ties. Blocks hold BLOCK windows.
@@ -21,11 +18,8 @@ from pyspark.sql.window import Window
 
 from geosieve.llm.common import if_small, partitions, stored
 
-K, W = 4, 8
+K, W = 8, 8
 BLOCK = 16384
-#: Scripts whose characters are units (fixed values).
-SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNIT = rf"[^\x20\x09-\x0D{SINGLE}]++|[{SINGLE}]"
 LOW = 65535
 
 
@@ -34,15 +28,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def units(text: Column) -> Column:
-    """The hashes of a text's units, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
-
-
 def _numbers(piece: Column, k: int) -> Column:
     """The packed number of each k-gram of a block."""
-    count = F.greatest(F.size(piece) - (k - 1), F.lit(1))
-    gram = lambda i: F.xxhash64(*(F.get(piece, i + j) for j in range(k)))  # noqa: E731  nulls past the end don't count
+    count = F.greatest(F.octet_length(piece) - (k - 1), F.lit(1))
+    gram = lambda i: F.xxhash64(F.substring(piece, i + 1, F.lit(k)))
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: gram(i).bitwiseAND(F.lit(~LOW)).bitwiseOR((F.lit(LOW) - i).cast("long")))
 
 
@@ -64,31 +53,27 @@ def _selected(piece: Column, k: int, w: int) -> Column:
     return let(_numbers(piece, k), lambda x: narrowed(x, 1))
 
 
-def _blocks(of: Column, k: int, w: int, short: Column | bool, of_block) -> Column:
-    """of_block(packed numbers, block) for each block of units, joined in one array."""
+def blocks(of: Column, k: int = K, w: int = W) -> Column:
+    """array<array<long>>: the packed numbers that the windows of each block of the bytes `of` select."""
     span = k + w - 1
-    n = F.size(of)
-    blocks = F.sequence(F.lit(0), F.floor((F.greatest(n - span, F.lit(0))) / BLOCK).cast("int"))
-    each = F.flatten(F.transform(blocks, lambda b: let(F.slice(of, b * BLOCK + 1, BLOCK + span - 1), lambda piece: of_block(_selected(piece, k, w), b))))
-    return F.when((n >= span) | (F.lit(short) if isinstance(short, bool) else short), each).otherwise(F.array().cast("array<long>"))
+    each = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length(of) - span, F.lit(0)) / BLOCK).cast("int"))
+    return F.transform(each, lambda b: let(F.substring(of, b * BLOCK + 1, F.lit(BLOCK + span - 1)), lambda piece: _selected(piece, k, w)))
 
 
-def windows(of: Column, k: int = K, w: int = W) -> Column:
-    """array<struct<hash long, position long>> that the windows of units `of` select, by position (in units, from 0)."""
-    wide = lambda v, b: F.struct(F.shiftright(v, 16).alias("hash"), (b.cast("long") * BLOCK + LOW - v.bitwiseAND(F.lit(LOW))).alias("position"))
-    span = k + w - 1
+def pairs(of: Column, at: Column | int = 0) -> Column:
+    """array<struct<hash long, position long>> of blocks(), by position; the first block begins at byte `at`."""
+    wide = lambda v, b: F.struct(F.shiftright(v, 16).alias("hash"), (b.cast("long") * BLOCK + at + LOW - v.bitwiseAND(F.lit(LOW))).alias("position"))
+    return F.flatten(F.transform(of, lambda block, b: F.transform(block, lambda v: wide(v, b))))
 
-    def found(x: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(x) - span, F.lit(0))) / BLOCK).cast("int"))
-        return F.flatten(F.transform(blocks, lambda b: F.transform(let(F.slice(x, b * BLOCK + 1, BLOCK + span - 1), lambda piece: _selected(piece, k, w)), lambda v: wide(v, b))))
 
-    # Where two blocks meet, both can select the same place.
-    return let(let(of, found), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["position"] != F.get(a, i - 1)["position"])))
+def apart(of: Column) -> Column:
+    """pairs() without the repeats that stand where two parts meet, as windows of both can select the same place."""
+    return let(of, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["position"] != F.get(a, i - 1)["position"])))
 
 
-def hashes(of: Column, k: int = K, w: int = W, short: Column | bool = True) -> Column:
-    """The distinct hashes of windows(of); of fewer units than a window has: as they are where `short`, else none."""
-    return let(of, lambda x: F.array_distinct(_blocks(x, k, w, short, lambda numbers, b: F.transform(numbers, lambda v: F.shiftright(v, 16)))))
+def windows(of: Column, k: int = K, w: int = W) -> Column:
+    """array<struct<hash long, position long>> that the windows of the bytes `of` select, by position (in bytes, from 0)."""
+    return apart(pairs(blocks(of, k, w)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,18 +81,23 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
+def hashes(*of: Column) -> Column:
+    """The distinct hashes of blocks()."""
+    return F.array_distinct(F.transform(F.flatten(F.concat(*of)), lambda v: F.shiftright(v, 16)))
+
+
 def text_of(selected: Column) -> Column:
-    """A fingerprint as text: the 12 hex digits of each selected hash, in order of first position."""
-    return F.array_join(F.transform(selected, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit((1 << 48) - 1)))), 12, "0")), "")
+    """Pairs as text: the 12 hex digits of each hash, by position."""
+    return F.array_join(F.transform(selected, lambda x: F.lpad(F.lower(F.hex(x["hash"].bitwiseAND(F.lit((1 << 48) - 1)))), 12, "0")), "")
 
 
 def winnow(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, selected (hash and position of each selected k-gram, by position) of every row.
 
-    A null text is empty: one k-gram of no units. Equal texts, and repeated rows, get equal fingerprints; other columns are
+    A null text is empty: one k-gram of no bytes. Equal texts, and repeated rows, get equal fingerprints; other columns are
     ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"), windows(units(F.coalesce(F.col("text"), F.lit(""))), k, w).alias("selected"))
+    return docs.select("doc_id", F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"), windows(F.coalesce(F.col("text"), F.lit("")).cast("binary"), k, w).alias("selected"))
 
 
 def _bucket(docs: DataFrame, n: int) -> Column:
@@ -134,42 +124,54 @@ def edited_fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     document in descending doc_id; after the last one comes the first. Rows of equal doc_id follow each other by
     text, null ids come last. A document alone in its table is its own next one.
 
-    The part before the last word begun in what is kept is the head. A fingerprint is the union of what the windows
-    inside the head select and what those reaching past it select, so the edited text needs hashes for its new end
-    only, and texts move once, with the sets of both kinds.
+    A fingerprint is 12 hex digits for each selected k-gram, in order of its place, which `positions` (of the edited
+    text, `edited_positions`) gives in bytes.
+
+    What is kept is the head. A fingerprint is the union of what the windows inside the head select and what those
+    reaching past it select, so the edited text needs hashes for its new end only. Only texts move: k-grams are hashed
+    where a bucket's rows already stand in order.
     """
     span = k + w - 1
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumn("bucket", _bucket(base, partitions(docs.sparkSession)))
     chars = F.char_length("text")
-    kept = F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 3).cast("int"))
-    rest = lambda c: F.substring(c, F.col("head_chars") + 1, F.char_length(c))
-    # Texts of less than a window have no more units than their edge, and so lie in this part as a whole.
-    reaching = lambda c: hashes(F.concat(F.col("edge"), units(rest(c))), k, w, F.col("head_units") < span)
+    cut = F.floor(F.col("n_chars") / 3).cast("int")
+    kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut).cast("int"))
+    edge = F.greatest(F.col("kept_bytes") - (span - 1), F.lit(0))
+    # Of a head of less than a window, all windows reach past it, and so does what a short text has of one.
+    none = F.array().cast("array<array<long>>")
+
+    def reaching(c: Column) -> Column:
+        short, rest = F.col("kept_bytes") < span, F.substring(c.cast("binary"), edge + 1, F.octet_length(c))
+        return F.when(short | (F.octet_length(rest) >= span), blocks(rest, k, w)).otherwise(none)
 
     def fingerprinted(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("n_chars", chars.cast("long")).withColumn("head_chars", F.char_length(F.regexp_replace(kept, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++\z", "")))
-        rows = rows.withColumn("_units", units(F.substring(F.col("text"), F.lit(1), F.col("head_chars"))))
-        rows = rows.withColumn("head_units", F.size("_units"))
-        rows = rows.withColumn("edge", F.slice("_units", F.greatest(F.size("_units") - (span - 2), F.lit(1)), F.lit(span - 1)))
-        rows = rows.withColumn("head", hashes(F.col("_units"), k, w, False)).drop("_units")
-        return rows.withColumn("tail", reaching(F.col("text")))
-
-    by = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    packed = fingerprinted(base).withColumn("next", F.lead(F.struct("text", "head", "tail")).over(by))
+        rows = rows.withColumn("n_chars", chars.cast("long")).withColumn("kept_bytes", F.octet_length(kept))
+        head = blocks(F.substring(F.col("text").cast("binary"), F.lit(1), F.col("kept_bytes")), k, w)
+        rows = rows.withColumn("head", F.when(F.col("kept_bytes") >= span, head).otherwise(none)).withColumn("tail", reaching(F.col("text")))
+        return rows.withColumn("hashes", hashes(F.col("head"), F.col("tail")))
+
+    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    placed = base.repartition("bucket").sortWithinPartitions("bucket", *order)
+    packed = fingerprinted(placed).withColumn("next", F.lead(F.struct("text", "hashes")).over(Window.partitionBy("bucket").orderBy(*order)))
     # The last row of a bucket is followed by the first one of the next lower bucket that has rows.
     tops = if_small(base.groupBy(F.col("bucket").alias("_bucket")).agg(F.max("doc_id").alias("_top")))
     firsts = base.join(tops, (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("bucket").agg(F.min("text").alias("text"))
-    edges = fingerprinted(firsts).select("bucket", F.struct("text", "head", "tail").alias("first"))
+    edges = fingerprinted(firsts).select("bucket", F.struct("text", "hashes").alias("first"))
     edges = stored(edges, "winnow-edges")
     every = Window.orderBy(F.col("bucket").desc())
     order = edges.select("bucket").withColumn("_to", F.coalesce(F.lead("bucket").over(every), F.first("bucket").over(every)))
     edges = edges.withColumnRenamed("bucket", "_to").join(order.withColumnRenamed("bucket", "_from"), "_to").select("_from", "first")
     rows = packed.withColumn("_last", F.when(F.col("next").isNull(), F.col("bucket"))).join(if_small(edges), F.col("_last") == F.col("_from"), "left")
     rows = rows.withColumn("next", F.coalesce("next", "first")).drop("_last", "_from", "first")
-    cut = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring(F.col("next.text"), F.lit(1), cut)))
-    rows = rows.withColumn("edited_hashes", F.array_union(F.col("head"), reaching(F.col("edited"))))
-    rows = rows.withColumn("own", F.array_union("head", "tail")).withColumn("other", F.array_union("next.head", "next.tail"))
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edited_hashes")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))
+    rows = rows.withColumn("edited", F.concat(kept, F.substring(F.col("next.text"), F.lit(1), cut)))
+    rows = rows.withColumn("edited_tail", reaching(F.col("edited"))).withColumn("edited_hashes", hashes(F.col("head"), F.col("edited_tail")))
+    rows = rows.withColumn("_head", pairs(F.col("head")))
+    rows = rows.withColumn("own", apart(F.concat("_head", pairs(F.col("tail"), edge)))).withColumn("other", apart(F.concat("_head", pairs(F.col("edited_tail"), edge))))
+    places = lambda c: F.transform(c, lambda x: x["position"])
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next.hashes")).alias("near_next"),
+        places(F.col("own")).alias("positions"), places(F.col("other")).alias("edited_positions"),
+    )

@@ -142,6 +142,37 @@ def test_winnow(spark, docs, empty):
     assert edited_fingerprints(empty).count() == 0 and winnow(docs.where("doc_id = 9")).first()["selected"][0]["position"] == 0
 
 
+def test_winnow_of_short_texts(spark):
+    import xxhash
+
+    from geosieve.llm.winnowing import K, W, edited_fingerprints
+
+    def selected(b):
+        signed = lambda h: h - (h >> 63 << 64)
+        grams = [signed(xxhash.xxh64_intdigest(b[i : i + K], 42)) >> 16 for i in range(max(1, len(b) - K + 1))]
+        ends = range(min(W, len(grams)), len(grams) + 1)
+        return sorted({min((h, -i) for i, h in enumerate(grams[max(e - W, 0) : e], max(e - W, 0)))[::-1] for e in ends}, reverse=True)
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+    texts = {i: " ".join(word() for _ in range(i % 20 + 1)) for i in range(60)}
+    texts |= {60 + i: "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40)) for i in range(10)}
+    texts |= {70 + i: "".join(rng.choice(letters) for _ in range(60)) for i in range(10)} | {80: "", 81: "é", 82: "ab" * 20000}
+    rows = {r["doc_id"]: r for r in edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for d, t in texts.items():
+        nxt, cut = texts[(d - 1) % len(texts)], len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        own, other, after = (selected(x.encode()) for x in (t, edited, nxt))
+        for at, text, want in (("positions", "fingerprint", own), ("edited_positions", "edited_fingerprint", other)):
+            assert rows[d][at] == [-p for p, _ in want] and rows[d][text] == "".join(f"{h % (1 << 48):012x}" for _, h in want)
+        for name, x in (("near_edited", other), ("near_next", after)):
+            a, b = {h for _, h in own}, {h for _, h in x}
+            assert rows[d][name] == pytest.approx(len(a & b) / len(a | b))
+    # Two thirds of each text stay; from four words on, and without spaces, that shows.
+    assert all(rows[d]["near_edited"] > 0 for d in texts if len(texts[d].encode()) >= 40)
+
+
 def test_mix(spark, docs, empty):
     from geosieve.llm.mixing import mix, mixed_documents
 
