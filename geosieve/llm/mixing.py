@@ -15,11 +15,11 @@ WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 5_000
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size (words), key: 60 random bits fixed by doc_id and seed."""
+def sized(docs: DataFrame, seed: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words), key: 60 random bits fixed by doc_id and seed; and the columns `also`."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"))
+    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *also)
 
 
 def source_targets(rows: DataFrame, share: float, cap: float) -> DataFrame:
@@ -41,41 +41,43 @@ def source_targets(rows: DataFrame, share: float, cap: float) -> DataFrame:
     return s.withColumn("_final", level).select("source", "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.coalesce(F.col("_final") * F.col("_weight"), F.col("source_size") * F.lit(float(cap)))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row.
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row, and the columns `also`, by which equal ids stand.
 
     A source's documents stand in the order of their keys. It takes as many whole epochs as its target (rounded)
     holds, and of the next epoch the first words up to the exact budget, so the last document may be taken in
     part. Null texts have size 0 and take nothing; a null source is a source, ranked last; repeated rows stand
     side by side and are taken one by one; a null doc_id counts as the empty id. Empty tables give no rows.
     """
-    rows = stored(sized(docs, seed), "mix-sizes")
+    rows = stored(sized(docs, seed, also), "mix-sizes")
     n = rows.count()
     bits = min(40, max(0, (n // BUCKET_ROWS).bit_length()))
     rows = rows.withColumn("_bucket", F.shiftright("key", 60 - bits))
-    placed = with_offsets(rows, ["source"], "_bucket", ["key", "doc_id"], "size", "_before")
+    placed = with_offsets(rows, ["source"], "_bucket", ["key", "doc_id", *also], "size", "_before")
     goals = source_targets(rows, share, cap).withColumnRenamed("source", "_source")
     placed = placed.join(if_small(goals), placed["source"].eqNullSafe(goals["_source"]))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("_before"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *also)
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
     """The mix as documents: each row as often as it is taken whole, and one copy cut after its last taken word.
 
-    Rows that share a doc_id must be equal, as mix() takes them in any order; a document of no words takes no
-    part. n_chars follows a cut text.
+    A document of no words takes no part; n_chars follows a cut text. Rows are told apart by all their columns, not by
+    doc_id, which may be null or repeated.
     """
-    # Equal rows are counted apart by an ordinal, so a join on doc_id can't multiply them.
-    taken = mix(docs, share, cap, seed).where("taken > 0")
-    per_id = taken.groupBy("doc_id").agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"))
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    one = docs.dropDuplicates(["doc_id"]) if ids.where("_rows > 1").limit(1).count() else docs
-    got = one.join(per_id.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    # Equal rows are one here: together they are taken whole so many times, and one of them at most in part.
+    others = [c for c in docs.columns if c != "text"]
+    named = docs.withColumn("_text", F.sha2("text", 256)).withColumn("_others", F.sha2(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}), 256))
+    name = ["_text", "_others"]
+    taken = stored(mix(named, share, cap, seed, tuple(name)).where("taken > 0").select(*name, "size", "taken"), "mix-taken")
+    per_row = taken.groupBy(*name).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.floor(F.col("taken") / F.col("size"))).alias("_whole"), F.max(F.col("taken") % F.col("size")).alias("_part"))
+    one = named.dropDuplicates(name) if per_row.where("_rows > 1").limit(1).count() else named
+    got = one.join(per_row.drop("_rows"), name)
+    whole, rest = F.col("_whole").cast("int"), F.col("_part").cast("int")
     copies = got.withColumn("_rest", rest).withColumn("_copy", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     cut = F.when(F.col("_copy") > 0, F.array_join(F.slice(words, 1, F.greatest(F.col("_copy"), F.lit(1))), " ")).otherwise(F.col("text"))

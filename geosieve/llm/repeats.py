@@ -345,7 +345,12 @@ def _judged(rows):
     return pa.table({"batch": rows["batch"], "bucket": rows["bucket"], "masks": pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def _cut(buckets: int):
+def _name(doc_id: int | None, text: bytes) -> str:
+    """What tells the answers of a table apart: they depend on a row's text and doc_id alone."""
+    return f"{hashlib.sha256(text).hexdigest()}:{'' if doc_id is None else doc_id}"
+
+
+def _cut(buckets: int, named: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -364,19 +369,23 @@ def _cut(buckets: int):
             sums[LENGTH:] -= sums[:-LENGTH].copy()
             removed = sums > 0
             out = []
-            for a, b in zip(batch.begins[:-1], batch.begins[1:]):
+            for doc_id, a, b in zip(row["doc_ids"], batch.begins[:-1], batch.begins[1:]):
                 gone = removed[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                out.append((int(b - a), edges.tolist(), batch.data[a:b][~gone].tobytes()))
-            n, edges, kept = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "edges", "kept"])
+                out.append((int(b - a), edges.tolist(), batch.data[a:b][~gone].tobytes(), _name(doc_id, batch.data[a:b].tobytes()) if named and len(edges) else None))
+            n, edges, kept, names = zip(*out)
+            columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+            more = [pa.array(names, pa.string())] if named else []
+            yield pa.RecordBatch.from_arrays(columns + more, ["doc_id", "n_bytes", "edges", "kept", "name"][: len(columns + more)])
 
     return run
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, named: bool = False) -> DataFrame:
     """doc_id, n_bytes, edges (begin and end of each maximal removed run, by turns), kept (the bytes left) of every row.
 
+    With `named`, also name: of rows that lose something, their text's SHA-256 and doc_id.
+
     A byte is removed if a string of LENGTH bytes over it also starts in a document of smaller doc_id, judged on the input.
     Null texts are empty; a null doc_id counts as larger than all others; rows of equal doc_id remove nothing from each
     other; other columns are ignored; an empty table gives no rows. A task holds one batch, and so one text, whole.
@@ -394,7 +403,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     masks = sent.groupBy("bucket").applyInArrow(_judged, "batch long, bucket int, masks binary")
     judged = stored(masks.groupBy("batch").agg(F.collect_list(F.struct("bucket", "masks")).alias("answers")), "repeats-answers")
     both = survivors.join(judged, "batch", "left")
-    return texts.join(both, "batch", "left").mapInArrow(_cut(buckets), "doc_id long, n_bytes long, edges array<long>, kept binary")
+    return texts.join(both, "batch", "left").mapInArrow(_cut(buckets, named), "doc_id long, n_bytes long, edges array<long>, kept binary" + (", name string" if named else ""))
 
 
 def _digest(batches: Iterator) -> Iterator:
@@ -415,17 +424,20 @@ def _decoded(batches: Iterator) -> Iterator:
 
     for b in batches:
         texts = [x.as_py().decode("utf-8", "ignore") for x in b["kept"]]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) > 0 for x in b["edges"].to_pylist()])], ["_id", "_text", "_chars", "_cut"])
+        yield pa.RecordBatch.from_arrays([b["name"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["_name", "_text", "_chars"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with repeated strings cut out of their texts; n_chars follows. Half characters at a cut go too.
 
-    doc_ids must be unique (near-duplicate removal before this makes them so). Texts without repeats stay as they are,
-    nulls too; a text of which nothing is left is empty.
+    Texts without repeats stay as they are, nulls too; a text of which nothing is left is empty. Cuts go to rows by doc_id
+    and text, so doc_ids may be null or repeated.
     """
-    kept = without_repeats(docs).mapInArrow(_decoded, "_id long, _text string, _chars long, _cut boolean").where("_cut")
-    out = docs.join(kept, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.coalesce("_text", "text"))
+    kept = without_repeats(docs, True).where("name IS NOT NULL").mapInArrow(_decoded, "_name string, _text string, _chars long")
+    rows = docs.withColumn("_row", F.concat(F.sha2("text", 256), F.lit(":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))))
+    if rows.where("_row IS NOT NULL").groupBy("_row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_name"])
+    out = rows.join(kept, F.col("_row") == F.col("_name"), "left").withColumn("text", F.coalesce("_text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce("_chars", "n_chars").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -186,6 +186,40 @@ def test_mix(spark, docs, empty):
     assert words == sum(r["taken"] for r in rows) and mix(empty).count() == 0
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    from geosieve.llm.mixing import mix, mixed_documents
+    from geosieve.llm.repeats import deduplicated
+
+    rng = random.Random(5)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    shared = fresh(12)
+    ids = [1, 2, 2, 3, 3, *[None] * 8]
+    texts = [shared, *(fresh(6 + i) + " " + shared for i in range(12))]
+    texts[4] = texts[3]
+    rows = [(d, t, "en", "a", len(t), 0.5, 1) for d, t in zip(ids, texts)] + [(None, texts[-1], "en", "a", len(texts[-1]), 0.5, 1)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    least: dict = {}
+    last = lambda d: 10**9 if d is None else d
+    for d, t, *_ in rows:
+        for j in range(len(t) - 49):
+            least[t[j : j + 50]] = min(least.get(t[j : j + 50], last(d)), last(d))
+
+    def left(d, t):
+        starts = [j for j in range(len(t) - 49) if least[t[j : j + 50]] < last(d)]
+        return "".join(c for i, c in enumerate(t) if not any(j <= i < j + 50 for j in starts))
+
+    got = Counter((r["doc_id"], r["text"]) for r in deduplicated(table).collect())
+    assert got == Counter((d, left(d, t)) for d, t, *_ in rows) and all(shared not in t for d, t in got if d != 1)
+    # Each text comes as often as mix() takes rows of its id and size, one copy cut at most.
+    out = Counter((r["doc_id"], r["text"]) for r in mixed_documents(table).collect())
+    for d, t, *_ in rows:
+        n, times = len(t.split()), sum(r[:2] == (d, t) for r in rows)
+        assert times <= out[d, t] <= 2 * times
+    assert sum(len(t.split()) * n for (_, t), n in out.items()) == mix(table).agg(F.sum("taken")).first()[0]
+
+
 def test_shards(spark, docs, empty):
     from geosieve.llm.sharding import shard
 
