@@ -70,9 +70,13 @@ def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from geosieve.llm.winnowing import edited_fingerprints
+    from pyspark.sql import functions as F
+
+    from geosieve.llm.winnowing import digest, edited_fingerprints
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    marks = {"fingerprint": digest(F.col("hashes"), F.col("positions")), "edited_fingerprint": digest(F.col("edited_hashes"), F.col("edited_positions"))}
+    return out.select("doc_id", "n_chars", "edited_sha256", *(v.alias(k) for k, v in marks.items()), "near_edited", "near_next", "positions")
 
 
 def queries() -> dict:

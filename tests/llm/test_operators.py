@@ -164,8 +164,8 @@ def test_winnow_of_short_texts(spark):
         nxt, cut = texts[(d - 1) % len(texts)], len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
         own, other, after = (selected(x.encode()) for x in (t, edited, nxt))
-        for at, text, want in (("positions", "fingerprint", own), ("edited_positions", "edited_fingerprint", other)):
-            assert rows[d][at] == [-p for p, _ in want] and rows[d][text] == "".join(f"{h % (1 << 48):012x}" for _, h in want)
+        for at, name, want in (("positions", "hashes", own), ("edited_positions", "edited_hashes", other)):
+            assert rows[d][at] == [-p for p, _ in want] and rows[d][name] == [h for _, h in want]
         for name, x in (("near_edited", other), ("near_next", after)):
             a, b = {h for _, h in own}, {h for _, h in x}
             assert rows[d][name] == pytest.approx(len(a & b) / len(a | b))
