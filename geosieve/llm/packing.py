@@ -5,7 +5,7 @@ holds, of a queue of N tokens, those from round(N k / K) to round(N (k + 1) / K)
 share's end differs from its due by half a token at most, however many shares there are; that remainder is the
 deficit carried into the next one. Inside a share a round-robin fills one window after the other. Every window adds
 to a source's deficit its part of the window; the source with the largest deficit gives the next slice (at least
-`slice_tokens`, so that documents aren't shredded), pays for it, and carries what it still has, or owes, into the
+`slice_tokens`, so that sources due less than one token a window stay whole), pays for it, and carries what it still has, or owes, into the
 next window. Windows are counted over the whole stream: a window begun in one share is ended by the next one, so
 only the very last window can be short, and that one is cut into powers of two, which need no padding.
 """
@@ -25,8 +25,8 @@ from geosieve.llm.token_files import END, tokenized
 from geosieve.llm.tokens import default_tokenizer
 
 WINDOW = 2048
-#: The least tokens that a queue gives at a time, unless a document, window or queue ends.
-SLICE_TOKENS = 512
+#: The least tokens that a queue gives at a time, unless a document, window or queue ends: what a source owes, or is owed, stays near it.
+SLICE_TOKENS = 16
 #: Bytes of text encoded together: less than for token files, as tasks here also hold shares.
 BATCH_BYTES = 4 << 20
 #: Tokens in a share: what one task holds at a time (2 or 4 bytes each).

@@ -63,6 +63,23 @@ def test_pack(spark, docs, empty):
     assert twice == 2 * sum(map(len, ids.values())) and pack(empty).count() == 0
 
 
+def test_every_window_holds_the_mix(spark):
+    from geosieve.llm.packing import SLICE_TOKENS, pack
+
+    rng = random.Random(4)
+    share = {"a": 40, "b": 30, "c": 20, "d": 9, "e": 1}
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(50, 150))), s) for i, s in enumerate(s for s, n in share.items() for _ in range(n * 4))]
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), window=512, share_tokens=8192).toPandas()
+    part = pieces.groupby("source_no")["length"].sum() / pieces["length"].sum()
+    full = pieces.groupby("sequence_id")["length"].sum() == 512
+    got = pieces.groupby(["sequence_id", "source_no"])["length"].sum().unstack(fill_value=0)[full]
+    assert len(got) > 50
+    # A source may owe, or be owed, about a slice at either end of a window; over all windows so far that doesn't grow.
+    assert ((got - part * 512).abs() <= 2 * SLICE_TOKENS + 1).all().all()
+    whole = got.cumsum()
+    assert ((whole.sub(whole.sum(axis=1), axis=0).add(whole.sum(axis=1), axis=0) - np.outer(whole.sum(axis=1), part)).abs() <= SLICE_TOKENS + 2).all().all()
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from geosieve.llm.token_files import read_token_files, token_digest, write_token_files
 
@@ -228,6 +245,34 @@ def test_shards(spark, docs, empty):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert all(r["text_crc32"] == zlib.crc32(x.encode()) for r in rows for x in [{c[0]: c[1] or "" for c in corpus()}[r["doc_id"]]])
     assert shard(empty, 4).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        shard(docs, 12)
+
+
+def test_shards_are_leaves_of_a_tree_over_metadata(spark):
+    from geosieve.llm.sharding import DIMENSIONS, metadata, shard, split_points
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    texts[200:700] = [texts[0]] * 500  # a third of all rows are copies
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice("pqrstuvw")) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = shard(table, 8).collect()
+    total = sum(r["size"] for r in got)
+    by = {s: sum(r["size"] for r in got if r["shard"] == s) for s in range(8)}
+    largest = max(r["size"] for r in got)
+    assert len(got) == 1500 and all(abs(b - total / 8) <= 3 * largest + 0.002 * total for b in by.values())
+    tree = split_points(metadata(table), total / 8)
+    assert len(tree) == 7 and tree[0]["dimension"] == "source" and {n["dimension"] for n in tree} <= set(DIMENSIONS)
+    # Each row lies where a walk down the tree leads, by its group's least source, language and doc_id.
+    meta = {(r["doc_id"]): r.asDict() for r in metadata(table).collect()}
+    for r in got:
+        node = 0
+        while node < 7:
+            node = 2 * node + (1 if meta[r["doc_id"]][tree[node]["dimension"]] <= tree[node]["cut"] else 2)
+        assert node - 7 == r["shard"]
+    # Equal texts stay in one shard but where a cut had to fall into their group.
+    assert all(len({r["shard"] for r in got if r["text_crc32"] == c}) == 1 for c in {r["text_crc32"] for r in got} - {zlib.crc32(texts[0].encode())})
 
 
 def test_neighbours(spark):
@@ -247,6 +292,27 @@ def test_neighbours(spark):
     assert nearest(spark.createDataFrame(rows[300:], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_over_cells(spark):
+    from geosieve.llm.neighbours import nearest, search
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((24, 16)) * 3
+    x = centres[rng.integers(0, 24, 2400)] + rng.standard_normal((2400, 16)) * 0.3
+    x[500:1300] = x[500]  # a third of all rows are one vector
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(2400)
+    got = nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), 20, 20, cell_rows=200).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert list(own.sort_values("rank")["vec_id"]) == [v for _, v in sorted(zip(-own["score"], own["vec_id"]))]
+        hits += (own["score"] >= np.sort(s)[-20] - 1e-9).sum()
+    assert len(got) == 120 * 20 and hits >= 0.9 * len(got)
+    _, _, verified = search(x[::20], ids[::20], x, ids, 1.0, 20)
+    assert verified < 0.5 * 120 * 2400  # clusters are told apart by their projections
+
+
 def test_classifiers(spark, docs, empty):
     from geosieve.llm.language import language
     from geosieve.llm.quality import quality
