@@ -1,20 +1,24 @@
 """Exact removal of repeated byte strings by prefix-free parsing.
 
-A rolling hash over TRIGGER bytes makes triggers: the places with the least hash in some window of LENGTH bytes. So every
-string of LENGTH bytes holds a trigger, equal strings hold the same ones, and two triggers are never further apart than a
-window: they cut texts into short phrases, none a prefix of another. What a string of LENGTH bytes can be is fixed by its
-trigger and the bytes within REACH on either side; those are the entries of the dictionary, each with the smallest doc_id
-that has it, and the parse is the order in which a batch of texts has them.
+A rolling hash over TRIGGER bytes makes triggers: the places with the least hash in some window of LENGTH bytes (rather
+than those divisible by a number, so that every string of LENGTH bytes holds one, equal strings hold the same ones, and
+phrases stay short in texts of any kind). Triggers cut texts into phrases; each phrase ends with the trigger that the
+next one begins with. A string of LENGTH bytes that holds a trigger is a suffix of the phrase that the trigger ends,
+then a prefix of what the parse has after it; so it lies within REACH bytes on either side. Phrase and rest, cut there, are
+an entry of the dictionary, with the smallest doc_id that has it.
 
 1. parse: each batch sends its distinct triggers' hashes (48 bits), dealt by value; those that two documents have survive.
-2. dictionary: each batch sends its distinct entries around surviving triggers, dealt by trigger, with their smallest
-   doc_id. Equal entries fall together; the strings of LENGTH bytes of those that are left are ordered, by offset from the
-   trigger, so that equal ones meet, and each learns whether a smaller document has it.
+2. dictionary: each batch sends its distinct entries around surviving triggers, dealt by trigger. There the phrases are
+   sorted from their ends (so that those with an equal suffix are neighbours) and the rests of the parse from their
+   beginnings, each order with the lengths that neighbours share. For each place in a phrase the two orders combine into
+   the order of the corpus strings that begin there, in which equal strings are neighbours; each learns whether a
+   smaller document has it. Only bytes are compared: no two strings meet by a hash alone.
 3. corpus: each batch parses its texts again, lays the answers over its bytes and cuts.
 
-The ordering is by 64-bit fingerprint of the strings, not by letters as in a suffix array: only equal strings have to
-meet. Whatever meets is compared byte by byte, so results are exact. What is sent is combined in each batch first: a
-passage that a third of all documents hold is one entry a batch.
+What is sent is combined in each batch first: a passage that a third of all documents hold is one entry a batch. Entries
+of a trigger that very many batches have are dealt by half of their context and the trigger instead, twice: strings
+that reach further to the left meet by the left half, the others by the right one; so no bucket holds all contexts of a
+frequent phrase.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ WIDTH = LENGTH + REACH
 BATCH_BYTES, SEGMENT = 4 << 20, 1 << 19
 #: Bytes of text for each part that triggers and entries are dealt to.
 BUCKET_BYTES = 8 << 20
+#: A trigger that so many batches have is dealt with half of its context; the bytes of a half.
+HOT_BATCHES, HALF = 256, (LENGTH - TRIGGER) // 2
 #: A null doc_id counts as the largest.
 LAST = np.iinfo(np.int64).max
 #: No byte of UTF-8: stands outside the text.
@@ -47,6 +53,17 @@ _BASE = 0x9E3779B97F4A7C15
 _WORDS = _rng.integers(0, 1 << 63, WIDTH // 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of 48-bit keys."""
+    return (keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _runs(keys: np.ndarray, buckets: int) -> tuple[list[int], np.ndarray]:
+    """The buckets that sorted keys fall into, and where each one's keys begin (and the last one's end)."""
+    some, first = np.unique(bucket_of(keys, buckets), return_index=True)
+    return some.tolist(), np.append(first, len(keys))
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
@@ -110,10 +127,6 @@ class Batch:
         self.text = np.searchsorted(self.begins, self.places, "right") - 1
         self.values, self.value_of = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
 
-    def bounds(self, buckets: int) -> np.ndarray:
-        """Where each bucket's hashes begin among the distinct ones; buckets are ranges of hashes."""
-        return np.searchsorted(self.values, np.array([-(-(b << 48) // buckets) for b in range(buckets + 1)], np.uint64))
-
     def shared(self) -> np.ndarray:
         """Of each distinct hash, whether two documents of the batch have it."""
         ids, low, high = self.ids[self.text], np.full(len(self.values), LAST), np.full(len(self.values), -LAST)
@@ -121,8 +134,8 @@ class Batch:
         np.maximum.at(high, self.value_of, ids)
         return low < high
 
-    def entries(self, survives: np.ndarray) -> None:
-        """Distinct entries around surviving triggers, ordered by trigger; the entry of each place, and its answer if it is known."""
+    def entries(self, survives: np.ndarray, hot: np.ndarray) -> None:
+        """Distinct entries around surviving triggers, as they are sent (in order of the keys that deal them); the entry of each place."""
         keep = survives[self.value_of]
         self.at, owner, value = self.places[keep], self.text[keep], self.value_of[keep]
         ids, n = self.ids[owner], len(self.at)
@@ -137,8 +150,12 @@ class Batch:
         self.first = np.empty(n, np.int64)
         self.first[order] = order[first]
         sent = order[np.unique(first)] if n else order
-        self.sent = sent[np.argsort(value[sent], kind="stable")]
-        self.sent_values = value[self.sent]
+        twice = sent[hot[value[sent]]]
+        once = sent[~hot[value[sent]]]
+        halves = [_rolling(around[twice, a:b], HALF + TRIGGER)[:, 0] >> np.uint64(16) for a, b in ((REACH - HALF, LENGTH), (REACH, LENGTH + HALF))]
+        keys = np.concatenate([self.values[value[once]], *halves])
+        by_key = np.argsort(keys, kind="stable")
+        self.sent, self.sent_keys = np.concatenate([once, twice, twice])[by_key], keys[by_key]
         self.larger = ids > ids[self.first]
         self.owner_ids = ids
 
@@ -173,6 +190,19 @@ def possible(rows: np.ndarray) -> np.ndarray:
     return (fits.astype(np.uint32) << c.astype(np.uint32)).sum(1, dtype=np.uint32)
 
 
+def ranked(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings of one length, by bytes; how many bytes each shares with the one before (-1 for the first)."""
+    strings = np.ascontiguousarray(strings)
+    width = strings.shape[1]
+    order = np.argsort(strings.view(f"S{width}").ravel(), kind="stable")
+    shared = np.full(len(order), -1, np.int64)
+    for i in range(1, len(order), 1 << 16):
+        a, b = strings[order[i - 1 : i - 1 + (1 << 16)]], strings[order[i : i + (1 << 16)]]
+        unlike = a[: len(b)] != b
+        shared[i : i + (1 << 16)] = np.where(unlike.any(1), unlike.argmax(1), width)
+    return order, shared
+
+
 def answers(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Bit c of each row: a row of smaller id has the same bytes c to c + LENGTH."""
     can, n = possible(rows), len(rows)
@@ -181,28 +211,22 @@ def answers(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     larger = ids[order] > ids[order[first]]
     out[order[larger]] = can[order[larger]]  # a smaller document has all of it
     lead = order[np.unique(first)] if n else order
-    lead = lead[np.argsort(ids[lead], kind="stable")]
-    marks = np.empty((len(lead), REACH + 1), np.uint64)
-    for i in range(0, len(lead), 1 << 13):
-        marks[i : i + (1 << 13)] = _rolling(rows[lead[i : i + (1 << 13)]], LENGTH)
+    phrases, shared_ends = ranked(rows[lead, LENGTH - 1 :: -1])
+    rests, shared_starts = ranked(rows[lead, LENGTH:])
+    lead_ids, phrase, rest = ids[lead], np.empty(len(lead), np.int64), np.empty(len(lead), np.int64)
     for c in range(REACH + 1):
+        # Strings from byte c on: phrases that share their last LENGTH - c bytes, and rests that share their first c.
+        phrase[phrases] = np.cumsum(shared_ends < LENGTH - c)
+        rest[rests] = np.cumsum(shared_starts < c)
         held = np.flatnonzero(can[lead] >> np.uint32(c) & np.uint32(1))
-        mark = marks[held, c]
-        o = np.argsort(mark, kind="stable")
-        s = mark[o]
-        new = np.ones(len(o), bool)
-        new[1:] = s[1:] != s[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
-        repeated = np.flatnonzero(~new)
-        a, b = lead[held[o[repeated]]], lead[held[o[head[repeated]]]]
-        same = (rows[a, c : c + LENGTH] == rows[b, c : c + LENGTH]).all(1)
-        found = a[same & (ids[a] > ids[b])]
-        out[found] |= np.uint32(1 << c)
-        if not same.all():  # one fingerprint, other bytes: group by the bytes
-            seen: dict[bytes, int] = {}
-            for r in lead[held]:
-                if ids[r] > seen.setdefault(rows[r, c : c + LENGTH].tobytes(), int(ids[r])):
-                    out[r] |= np.uint32(1 << c)
+        if not len(held):
+            continue
+        place = phrase[held] * (len(lead) + 1) + rest[held]
+        o = np.argsort(place)
+        place, own = place[o], held[o]
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        least = np.repeat(np.minimum.reduceat(lead_ids[own], begins), np.diff(np.append(begins, len(own))))
+        out[lead[own[lead_ids[own] > least]]] |= np.uint32(1 << c)
     # A first row's answers hold for the others of its document.
     out[order] |= np.where(larger, 0, out[order[first]]).astype(np.uint32)
     return out
@@ -266,19 +290,27 @@ def _send_triggers(buckets: int):
 
         for row in _rows(batches):
             batch = _open(row)
-            cuts, shared = batch.bounds(buckets), batch.shared()
+            (some, cuts), shared = _runs(batch.values, buckets), batch.shared()
             six = batch.values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            runs = [*zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([six[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()), pa.array([np.packbits(shared[cuts[b] : cuts[b + 1]]).tobytes() for b in some], pa.binary())],
+                [pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([six[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([np.packbits(shared[a:b]).tobytes() for a, b in runs], pa.binary())],
                 ["bucket", "batch", "hashes", "shared"],
             )
 
     return run
 
 
-def _survivors(rows):
-    """applyInArrow over a bucket: for each batch, a bit for each of its hashes: two documents have it."""
+def _survivors(hot_batches: int):
+    """applyInArrow over a bucket: for each batch, a bit for each of its hashes: two documents have it; and one, if any: very many batches have it."""
+
+    def run(rows):
+        return _judged_triggers(rows, hot_batches)
+
+    return run
+
+
+def _judged_triggers(rows, hot_batches: int):
     import pyarrow as pa
 
     lean()
@@ -296,23 +328,27 @@ def _survivors(rows):
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
     group = np.cumsum(new) - 1
-    hit = (np.bincount(group) > 1) | (np.bincount(group, weights=both[order]) > 0)
-    keep = np.empty(len(s), bool)
-    keep[order] = hit[group]
+    count = np.bincount(group)
+    hit = (count > 1) | (np.bincount(group, weights=both[order]) > 0)
+    keep, hot = np.empty(len(s), bool), np.empty(len(s), bool)
+    keep[order], hot[order] = hit[group], (hit & (count >= hot_batches))[group]
     cuts = np.cumsum([0, *sizes])
-    bits = [np.packbits(keep[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-    return pa.table({"batch": rows["batch"], "bucket": rows["bucket"], "bits": pa.array(bits, pa.binary())})
+    packed = lambda x: [np.packbits(x[a:b]).tobytes() if x[a:b].any() else b"" for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.table({"batch": rows["batch"], "bucket": rows["bucket"], "bits": pa.array(packed(keep), pa.binary()), "hot": pa.array(packed(hot), pa.binary())})
 
 
-def _with_entries(row: dict, buckets: int) -> tuple[Batch, np.ndarray]:
-    """The batch with its entries, and where each bucket begins among those sent."""
+def _with_entries(row: dict, buckets: int) -> tuple[Batch, list[int], np.ndarray]:
+    """The batch with its entries, the buckets they are sent to, and where each one's begin."""
     batch = _open(row)
-    cuts, survives = batch.bounds(buckets), np.zeros(len(batch.values), bool)
+    some, cuts = _runs(batch.values, buckets)
+    run_of, survives, hot = dict(zip(some, zip(cuts[:-1], cuts[1:]))), np.zeros(len(batch.values), bool), np.zeros(len(batch.values), bool)
     for got in row["survivors"] or []:
-        a, b = cuts[got["bucket"]], cuts[got["bucket"] + 1]
-        survives[a:b] = np.unpackbits(np.frombuffer(got["bits"], np.uint8))[: b - a]
-    batch.entries(survives)
-    return batch, np.searchsorted(batch.sent_values, cuts)
+        a, b = run_of[got["bucket"]]
+        for flags, bits in ((survives, got["bits"]), (hot, got["hot"])):
+            if bits:
+                flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a]
+    batch.entries(survives, hot)
+    return batch, *_runs(batch.sent_keys, buckets)
 
 
 def _send_entries(buckets: int):
@@ -321,9 +357,8 @@ def _send_entries(buckets: int):
 
         codec = _codec()
         for row in _rows(batches):
-            batch, cuts = _with_entries(row, buckets)
-            some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            sent = [batch.sent[cuts[b] : cuts[b + 1]] for b in some]
+            batch, some, cuts = _with_entries(row, buckets)
+            sent = [batch.sent[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([codec.compress(batch.around[s].tobytes(), asbytes=True) for s in sent], pa.binary()), pa.array([batch.owner_ids[s].tobytes() for s in sent], pa.binary())],
                 ["bucket", "batch", "entries", "ids"],
@@ -355,12 +390,13 @@ def _cut(buckets: int, named: bool):
         import pyarrow as pa
 
         for row in _rows(batches):
-            batch, cuts = _with_entries(row, buckets)
-            masks = np.zeros(len(batch.sent), np.uint32)
+            batch, some, cuts = _with_entries(row, buckets)
+            begin_of, masks = dict(zip(some, cuts)), np.zeros(len(batch.sent), np.uint32)
             for got in row["answers"] or []:
-                masks[cuts[got["bucket"]] : cuts[got["bucket"] + 1]] = np.frombuffer(got["masks"], np.uint32)
+                found = np.frombuffer(got["masks"], np.uint32)
+                masks[begin_of[got["bucket"]] : begin_of[got["bucket"]] + len(found)] = found
             known = np.zeros(len(batch.at), np.uint32)
-            known[batch.sent] = masks
+            np.bitwise_or.at(known, batch.sent, masks)
             mask = np.where(batch.larger, possible(batch.around), known[batch.first]) if len(batch.at) else known
             starts = np.zeros(len(batch.data) + 1, np.int32)
             for c in range(REACH + 1):
@@ -381,7 +417,7 @@ def _cut(buckets: int, named: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, named: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, named: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
     """doc_id, n_bytes, edges (begin and end of each maximal removed run, by turns), kept (the bytes left) of every row.
 
     With `named`, also name: of rows that lose something, their text's SHA-256 and doc_id.
@@ -396,8 +432,8 @@ def without_repeats(docs: DataFrame, named: bool = False) -> DataFrame:
     total = texts.agg(F.sum("plain")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
     sent = texts.mapInArrow(_send_triggers(buckets), "bucket int, batch long, hashes binary, shared binary")
-    bits = sent.groupBy("bucket").applyInArrow(_survivors, "batch long, bucket int, bits binary")
-    survivors = stored(bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("survivors")), "repeats-survivors")
+    bits = sent.groupBy("bucket").applyInArrow(_survivors(hot_batches), "batch long, bucket int, bits binary, hot binary")
+    survivors = stored(bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("survivors")), "repeats-survivors")
     known = texts.join(survivors, "batch", "left")
     sent = known.mapInArrow(_send_entries(buckets), "bucket int, batch long, entries binary, ids binary")
     masks = sent.groupBy("bucket").applyInArrow(_judged, "batch long, bucket int, masks binary")
