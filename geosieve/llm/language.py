@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a fixed random vector of +1 and -1. A trigram's vector binds those of its letters by multiplication,
+Each letter of any script has a random vector of +1 and -1, drawn from its code point. A trigram's vector binds those of its letters by multiplication,
 the first rotated by two places, the second by one. A text's vector bundles (adds) those of its trigrams; a language's
 prototype bundles the vectors, scaled to length 1, of the texts it is learned from. The language whose prototype has the
 largest cosine with the text's vector is its language. All that isn't a letter counts as one blank.
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import pickle
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,12 @@ from pyspark.sql import functions as F
 from geosieve.llm.sampling import fold, labelled_texts
 
 DIMENSIONS = 1024
-#: Letters with a vector of their own; others share one.
-ALPHABET = 62
-#: The sample to learn from: rows of each language, and the longest text among them.
+#: The sample to learn from: rows of each language, and the longest piece of a text among them.
 TRAIN_ROWS, TRAIN_BYTES = 600, 32_768
-#: Characters bundled at once, and how sharply cosines become probabilities.
-BATCH_CHARS, SHARPNESS = 1 << 18, 60.0
+#: Characters bundled at once, texts times characters at once, and how sharply cosines become probabilities.
+BATCH_CHARS, BATCH_CELLS, SHARPNESS = 1 << 18, 1 << 22, 60.0
+#: Trigrams bound at once.
+BOUND = 1 << 14
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -38,55 +37,66 @@ def _letters() -> np.ndarray:
 
 
 class Profiles:
-    def __init__(self, alphabet: str, seed: int = 5):
-        self.alphabet, self.seed = alphabet, seed
+    def __init__(self, seed: int = 5):
+        self.seed = seed
         self.names: list[str] = []
         self.prototypes = np.zeros((0, DIMENSIONS), np.float32)
         self.prepare()
 
     def prepare(self) -> None:
-        table = np.where(_letters(), ALPHABET + 1, 0).astype(np.uint8)
-        for i, c in enumerate(self.alphabet):
-            table[ord(c)] = i + 1
-        letters = np.random.default_rng(self.seed).choice(np.array([-1, 1], np.int8), (ALPHABET + 2, DIMENSIONS))
-        self.table, self.first, self.second, self.third = table, np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
+        self.is_letter, self.known = _letters(), {}
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("alphabet", "seed", "names", "prototypes")}
+        return {k: self.__dict__[k] for k in ("seed", "names", "prototypes")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
         self.prepare()
 
+    def vector(self, letter: int) -> np.ndarray:
+        """The random vector of a letter, drawn from its code point; of 0, the blank."""
+        if letter not in self.known:
+            if len(self.known) >= 1 << 13:
+                self.known.clear()
+            self.known[letter] = np.random.default_rng([self.seed, letter]).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+        return self.known[letter]
+
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The bundled vector of each text, and whether it has a letter."""
         low = [x.lower() for x in texts]
         codes = np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = self.table[codes]
+        codes = np.where(self.is_letter[np.minimum(codes, 0x10FFFF)], codes, 0)
         owner = np.repeat(np.arange(len(low), dtype=np.int32), [len(x) + 1 for x in low])
-        has = np.bincount(owner[kinds > 0], minlength=len(low)) > 0
-        keep = np.ones(len(kinds), bool)
-        keep[1:] = (kinds[1:] > 0) | (kinds[:-1] > 0)
-        kinds, owner = kinds[keep].astype(np.int32), owner[keep]
-        if len(kinds) < 3:
-            return np.zeros((len(low), DIMENSIONS), np.float32), has
-        size = ALPHABET + 2
+        has = np.bincount(owner[codes > 0], minlength=len(low)) > 0
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
+        codes, owner = codes[keep], owner[keep]
+        out = np.zeros((len(low), DIMENSIONS), np.float32)
+        if len(codes) < 3:
+            return out, has
+        # The letters at hand by number: 0 is the blank.
+        seen = np.zeros(0x110000, np.int32)
+        seen[codes] = 1
+        seen[0] = 1
+        letters = np.flatnonzero(seen)
+        seen[letters] = np.arange(len(letters))
+        kinds, size = seen[codes].astype(np.int64), len(letters)
         grams, owner = (kinds[:-2] * size + kinds[1:-1]) * size + kinds[2:], owner[1:-1]
-        seen = np.zeros(size**3, bool)
-        seen[grams] = True
-        used = np.flatnonzero(seen)
-        place = np.zeros(size**3, np.int32)
-        place[used] = np.arange(len(used))
-        counts = np.bincount(owner.astype(np.int64) * len(used) + place[grams], minlength=len(low) * len(used)).reshape(len(low), len(used)).astype(np.float32)
-        bound = self.first[used // size**2] * self.second[used // size % size] * self.third[used % size]
-        return counts @ bound.astype(np.float32), has
+        used, place = np.unique(grams, return_inverse=True)
+        table = np.array([self.vector(x) for x in letters.tolist()], np.int8)
+        first, second = np.roll(table, 2, 1), np.roll(table, 1, 1)
+        counts = np.bincount(owner.astype(np.int64) * len(used) + place, minlength=len(low) * len(used)).reshape(len(low), len(used)).astype(np.float32)
+        for i in range(0, len(used), BOUND):
+            g = used[i : i + BOUND]
+            out += counts[:, i : i + BOUND] @ (first[g // size**2] * second[g // size % size] * table[g % size]).astype(np.float32)
+        return out, has
 
     def fit(self, rows: list[tuple[str, str]]) -> "Profiles":
         sums: dict[str, np.ndarray] = {}
-        for at in range(0, len(rows), 64):
-            v, _ = self.vectors([t for t, _ in rows[at : at + 64]])
+        for at in range(0, len(rows), 16):
+            v, _ = self.vectors([t for t, _ in rows[at : at + 16]])
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            for x, (_, name) in zip(v, rows[at : at + 64]):
+            for x, (_, name) in zip(v, rows[at : at + 16]):
                 sums[name] = sums.get(name, 0) + x
         self.names = sorted(sums)
         if sums:
@@ -98,7 +108,7 @@ class Profiles:
         """The language of each text, and its part of the sharpened cosines of all."""
         names, scores, held, size = [], [], [], 0
         for text in [*texts, None]:
-            if text is None or (held and size + len(text) > BATCH_CHARS):
+            if text is None or (held and (size + len(text) > BATCH_CHARS or (len(held) + 1) * (size + len(text)) > BATCH_CELLS)):
                 v, has = self.whole(held)
                 if self.names:
                     cosine = v @ self.prototypes.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -125,9 +135,7 @@ class Profiles:
 
 def train(docs: DataFrame, per_language: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Profiles:
     rows = labelled_texts(docs, "lang", fold("doc_id", FOLDS) != HELD_OUT, per_language, most_bytes)
-    letters = Counter(c for t, _ in rows for c in t.lower() if c.isalpha())
-    alphabet = "".join(sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
-    return Profiles(alphabet).fit(rows)
+    return Profiles().fit(rows)
 
 
 def identified(docs: DataFrame, model: Profiles) -> DataFrame:

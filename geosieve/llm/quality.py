@@ -14,12 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geosieve.llm.common import free_names
 from geosieve.llm.sampling import fold, labelled_texts
 from geosieve.llm.tokens import texts_of
 
 STRIDE, BLOCK = 4, 16
 LAGS = tuple(range(2, 14))
-#: The sample to learn from: rows of each label, and the longest text among them.
+#: The sample to learn from: rows of each label, and the longest piece of a text among them.
 TRAIN_ROWS, TRAIN_BYTES = 1500, 16_384
 #: Bytes scored at once.
 BATCH_BYTES = 1 << 20
@@ -78,9 +79,13 @@ class Network:
         if not texts:
             return np.zeros((0, self.p["dense"].shape[0]), np.float32)
         if len(texts) == 1 and len(texts[0]) > 2 * BATCH_BYTES:
-            text = texts[0]
-            parts = [self.pooled([text[max(0, i - 2 * BLOCK) : i + BATCH_BYTES]]) for i in range(0, len(text), BATCH_BYTES)]
-            return np.max(parts, axis=0)
+            buffer, begins = self.layout(texts)
+            last, step, parts = int(begins[1]), BATCH_BYTES // BLOCK, []
+            for a in range(0, last, step):
+                b, before = min(last, a + step), min(a, 1)  # chunks that begin in blocks a to b; a block before tells what repeats
+                conv, lag = self.answers(buffer[(a - before) * BLOCK : (b + 1) * BLOCK])
+                parts.append(np.hstack([conv[before * (BLOCK // STRIDE) :].max(0), lag[before:].max(0)]))
+            return np.maximum(np.max(parts, axis=0), 0)[None]
         buffer, begins = self.layout(texts)
         conv, lag = self.answers(buffer)
         return np.maximum(np.hstack([np.maximum.reduceat(conv, begins[:-1] * (BLOCK // STRIDE)), np.maximum.reduceat(lag, begins[:-1])]), 0)
@@ -133,16 +138,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS, most_
     return Network().fit(data) if data else Network()
 
 
-def scored(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
+def scored(docs: DataFrame, model: Network, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`docs` with a score (0 to 1, higher: label 1 likelier) and a prediction (1 if score >= threshold), called `names`.
 
-    Null and empty texts are scored as one chunk of zeros. Rows stay as they are, repeated ones too; columns named
-    score or predicted are replaced.
+    Null and empty texts are scored as one chunk of zeros. Rows stay as they are, repeated ones and null doc_ids too; the
+    table must have no columns called as `names`. An empty table gives no rows.
     """
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns already there: {', '.join(sorted(clash))}")
     weights = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    rest = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in rest]
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
+    schema = docs.select("*").schema.add(names[0], "double").add(names[1], "integer")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -152,9 +157,15 @@ def scored(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> Dat
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 scores = net.score([*texts_of(batch["text"])])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], [*batch.schema.names, *names])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text the model accepts, with their own columns, whatever those are called."""
+    score, predicted = free_names(docs.columns, "score", "predicted")
+    return scored(docs, model, threshold, (score, predicted)).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def oracle_sql() -> dict:
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('42:' || doc_id), 1, 15) AS BIGINT) AS key FROM documents),
+         CAST('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS rnk FROM s0),
 s2 AS (SELECT *, [5, 2, 1][rnk % 3 + 1] AS weight FROM s1),

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.llm.common import lean, partitions, stored
+from geosieve.llm.common import free_names, lean, partitions, stored
 from geosieve.llm.tokens import texts_of
 
 LENGTH, TRIGGER = 50, 20
@@ -469,11 +469,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Texts without repeats stay as they are, nulls too; a text of which nothing is left is empty. Cuts go to rows by doc_id
     and text, so doc_ids may be null or repeated.
     """
-    kept = without_repeats(docs, True).where("name IS NOT NULL").mapInArrow(_decoded, "_name string, _text string, _chars long")
-    rows = docs.withColumn("_row", F.concat(F.sha2("text", 256), F.lit(":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))))
-    if rows.where("_row IS NOT NULL").groupBy("_row").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_name"])
-    out = rows.join(kept, F.col("_row") == F.col("_name"), "left").withColumn("text", F.coalesce("_text", "text"))
+    name, text, chars, row = free_names(docs.columns, "_name", "_text", "_chars", "_row")
+    kept = without_repeats(docs, True).where("name IS NOT NULL").mapInArrow(_decoded, "_name string, _text string, _chars long").toDF(name, text, chars)
+    rows = docs.withColumn(row, F.concat(F.sha2("text", 256), F.lit(":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))))
+    if rows.where(F.col(row).isNotNull()).groupBy(row).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([name])
+    out = rows.join(kept, F.col(row) == F.col(name), "left").withColumn("text", F.coalesce(text, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce("_chars", "n_chars").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(chars, "n_chars").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, a Gray-order hierarchical index, and connected components.
 
-Candidates: 64 bits are cut into BLOCKS = 5 blocks; of two fingerprints that differ in at most 4 bits, one block is
-equal in both. So each distinct fingerprint goes to five buckets, one for each block's value, and every linked pair
-meets in a bucket. Inside one an index finds the links: fingerprints sorted by Gray rank (neighbours there share most
+Candidates: 64 bits are cut into 4 + r blocks; of two fingerprints that differ in at most 4 bits, r blocks are equal in
+both. So each distinct fingerprint goes to a bucket for each choice of r blocks, and every linked pair meets in one. r is
+1 up to some millions of fingerprints and rises with their number, so that buckets stay small. Inside one an index finds the links: fingerprints sorted by Gray rank (neighbours there share most
 bits), runs of them under nodes that hold the bits all members agree on, and bits that a parent holds already left out
 below, so that going down only adds differences. A group is dropped once its accumulated differences pass the limit.
 A bucket returns a spanning forest of its links, not all pairs: groups already joined to the query are dropped too.
@@ -11,17 +11,20 @@ A bucket returns a spanning forest of its links, not all pairs: groups already j
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.llm.common import if_small, stored
+from geosieve.llm.common import discard, free_names, if_small, stored
 from geosieve.llm.tokens import texts_of
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Members or nodes under a node, and queries searched at once.
 FANOUT, QUERIES = 8, 256
+#: Fingerprints that a bucket should have at most, were they spread evenly.
+BUCKET = 4096
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -45,8 +48,8 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) of every row; null and blank texts have 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) and the columns `also` of every row; null and blank texts have 0."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -55,9 +58,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 fps = np.array([fingerprint(x, shingle) for x in texts_of(batch["text"])], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *(batch[c] for c in also)], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
+    schema = rows.select("doc_id").schema.add("fp", "long")
+    for c in also:
+        schema = schema.add(rows.schema[c])
+    return rows.mapInArrow(run, schema)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -114,8 +121,10 @@ class GrayIndex:
 
         near = np.flatnonzero(np.bitwise_count(self.fps[1:] ^ self.fps[:-1]) <= limit)
         join(near, near + 1)
+        made = -1
         for begin in range(0, n, QUERIES):
-            same = labels()
+            if made < len(out):
+                same, made = labels(), len(out)
             top = len(self.pattern) - 1
             q = np.repeat(np.arange(begin, min(n, begin + QUERIES)), len(self.pattern[top]))
             node = np.tile(np.arange(len(self.pattern[top])), min(n, begin + QUERIES) - begin)
@@ -165,11 +174,24 @@ def _linked(limit: int):
     return run
 
 
-def links(distinct: DataFrame, limit: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between nodes of `distinct` (fp, node) that connect all fingerprints within `limit` bits."""
-    blocks = limit + 1
+def links(distinct: DataFrame, limit: int = DISTANCE, equal: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes of `distinct` (fp, node) that connect all fingerprints within `limit` bits.
+
+    equal: how many blocks a bucket's fingerprints share; by default the least for which buckets have BUCKET on average.
+    """
+    if equal is None:
+        n, equal = distinct.count(), 1
+        while equal < 4 and n >> (64 * equal // (limit + equal)) > BUCKET:
+            equal += 1
+    blocks = limit + equal
     bounds = [64 * i // blocks for i in range(blocks + 1)]
-    keys = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) * blocks + i for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:]))]
+    spans, keys = [*zip(bounds[:-1], bounds[1:])], []
+    chosen = [*combinations(spans, equal)]
+    for i, some in enumerate(chosen):
+        key = F.lit(0).cast("long")
+        for low, high in some:
+            key = F.shiftleft(key, high - low).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
+        keys.append(key * len(chosen) + i)
     rows = distinct.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
     rows = rows.repartition("key").sortWithinPartitions("key", "fp")
     return rows.select("key", "fp", "node").mapInArrow(_linked(limit), "a long, b long")
@@ -191,26 +213,47 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small, name)
         same = small.join(pairs, ["u", "v"], "left_anti").limit(1).count() == 0 and pairs.join(small, ["u", "v"], "left_anti").limit(1).count() == 0
+        discard(edges.sparkSession, pairs.inputFiles()[0].rsplit("/", 1)[0]) if pairs.inputFiles() else None
         pairs = small
         if same:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _classes(marked: DataFrame, limit: int) -> DataFrame:
+    """(_fp, label, component_id) of each distinct fingerprint: the least fingerprint reachable, and the smallest doc_id."""
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("node")), limit))
+    labelled = distinct.join(if_small(found), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("label"), "first")
+    labelled = stored(labelled, "simhash-labels")
+    least = labelled.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("component_id"))
+    return labelled.join(least, F.col("label") == F.col("_label")).select(F.col("fp").alias("_fp"), "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of at most `limit` bits) of every row.
 
-    Equal fingerprints are one node, numbered by their smallest doc_id, so a group of copies of any size is one row to the
-    index. Rows with a null doc_id take the component of their fingerprint's other rows, or null; repeated rows stay.
+    Equal fingerprints are one node, so a group of copies of any size is one row to the index. Rows with a null doc_id
+    take part like others; where a component has no doc_id, component_id is null. Repeated rows, and rows of one doc_id
+    with different texts, stay, each with its own text's component. Empty tables give no rows.
     """
     marked = stored(fingerprints(docs, shingle), "simhash")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    found = components(links(distinct.where("node IS NOT NULL"), limit))
-    classes = distinct.join(if_small(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(if_small(classes), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(if_small(_classes(marked, limit)), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that lead their component (those without doc_id stay); of repeated rows one."""
-    groups = near_duplicates(docs, limit, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    leads = docs.where("doc_id IS NOT NULL").join(if_small(groups), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return leads.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each component: that of the smallest doc_id (a null one is larger than all).
+
+    Rows that share it are told apart by a hash of all their columns, of which the least is kept; of wholly equal rows
+    one. So what is kept depends neither on the order of rows nor on partitions, and no text is lost but near copies.
+    """
+    (mark,) = free_names(docs.columns, "_mark")
+    plain = [F.to_json(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in docs.schema.fields]
+    rows = docs.withColumn(mark, F.xxhash64(*plain))
+    marked = stored(fingerprints(rows, shingle, (mark,)), "simhash")
+    placed = marked.join(if_small(_classes(marked, limit)), F.col("fp") == F.col("_fp"))
+    least = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(mark).alias("mark"))).alias("lead"), F.count(F.lit(1)).alias("n"))
+    leads = stored(least.select(F.col("lead.doc_id").alias("_lead"), F.col("lead.mark").alias("_lead_mark")), "simhash-leads")
+    kept = rows.join(if_small(leads), (F.col(mark) == F.col("_lead_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_lead")), "left_semi")
+    if marked.groupBy("doc_id", mark).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([mark])
+    return kept.select(*docs.columns)

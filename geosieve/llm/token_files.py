@@ -14,6 +14,8 @@ from geosieve.llm.common import if_small, partitions
 from geosieve.llm.tokens import BATCH_BYTES, batches_of, default_tokenizer, encoder, texts_of
 
 END = 1
+#: Bytes of text for each file, on average at most.
+FILE_BYTES = 128 << 20
 
 
 def tokenized(tokenizer: str, end: int | None, carry: list[str], queue: str | None = None, batch_bytes: int = BATCH_BYTES, as_bytes: bool = False):
@@ -60,12 +62,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     Files hold doc_id, part (the file's place), start_in_part (ids of the file's documents before it), n_tokens
     and tokens. ORC writes the integers in run-length form, keeps row indexes for each 1,000 rows and a Bloom
     filter on doc_id; a reader splits a file by stripes. A null text has only the end id, a null doc_id stands
-    first, rows of equal doc_id stand side by side in any order; other columns are ignored. An empty table
+    first, rows of equal doc_id follow each other by a hash of the text and may go to several files; other columns are ignored. An empty table
     gives files without rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
     out = rows.mapInArrow(tokenized(tokenizer or default_tokenizer(), end, ["doc_id"]), "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>")
     options = {"orc.compress": "ZSTD", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_mb << 20)}
     out.write.options(**options).mode("overwrite").orc(path)
