@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences, in five stages; each reads what the one before it has written."""
+"""From raw documents to packed sequences, in five stages; each reads what the one before it has written.
+
+Stages take rows with null, repeated or clashing anything: a null text is empty, a null doc_id is larger than all others,
+rows of one doc_id with different texts are documents of their own, other columns pass through whatever their names, and
+an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +11,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geosieve.llm import mixing, packing, quality, repeats, simhash
-from geosieve.llm.common import fresh_path, table
-
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network accepts."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    from geosieve.llm import quality
+    from geosieve.llm.common import table
+
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id."""
+    from geosieve.llm import simhash
+
     return simhash.deduplicated(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that an earlier document has."""
+    from geosieve.llm import repeats
+
     return repeats.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    from geosieve.llm import mixing
+
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their ids and places in sequences."""
+    from geosieve.llm import packing
+
     return packing.pack(docs)
 
 
@@ -49,6 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geosieve.llm.common import fresh_path, table
+
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = fresh_path(spark, "pipeline")
