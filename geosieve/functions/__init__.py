@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for no speed (fixed values).
 NO_SPEED = ("none", "signals", "variable", "walk")
+LEGACY_NO_SPEED = ("none", "signals", "variable", "implicit")
 
 
-def parse_maxspeed(value: Column, stop: tuple = NO_SPEED) -> Column:
-    """The first number in a speed tag as it is written; null for the words in `stop`, or without a number."""
-    text = F.lower(F.trim(value))
+def parse_maxspeed(value: Column, stop: tuple = NO_SPEED, strip: bool = True) -> Column:
+    """The first number in a speed tag as it is written; null for the words in `stop`, or without a number.
+
+    White space of any kind around a word doesn't matter, unless strip=False.
+    """
+    text = F.lower(F.regexp_replace(value, r"^\s+|\s+$", "") if strip else value)
     return F.when(text.isin(*stop), None).otherwise(F.nullif(F.regexp_extract(text, r"(\d+(\.\d+)?)", 1), F.lit("")).cast("double"))
 
 
@@ -35,6 +39,11 @@ def edge_strength(length: Column) -> Column:
     return 1 / (length + 1e-6)
 
 
+def strength_of(columns: list[str]) -> Column:
+    """Closeness from `length`, else the edge's own `weight`, else 1 for all."""
+    return edge_strength(F.col("length")) if "length" in columns else F.col("weight").cast("double") if "weight" in columns else F.lit(1.0)
+
+
 def flatten_tag(tags: Column) -> Column:
     """A list of tags as one text."""
     return F.array_join(tags, ",")

@@ -38,9 +38,15 @@ def smallest(vertices: DataFrame, n: int = 10) -> DataFrame:
     return sizes(vertices).orderBy("size", "community").limit(n)
 
 
-def highlight(vertices: DataFrame, k: int, smallest: bool = False) -> DataFrame:
-    """(id, color): place of the vertex's community among the k largest (or smallest), else -1."""
+def kept_share(vertices: DataFrame) -> DataFrame:
+    """How many vertices are in a community, and what percentage of all."""
+    kept = F.col("community") != -1
+    return vertices.agg(F.count(F.when(kept, 1)).alias("n_kept"), (100 * F.avg(kept.cast("double"))).alias("pct_kept"))
+
+
+def highlight(vertices: DataFrame, k: int, smallest: bool = False, keep_noise: bool = False) -> DataFrame:
+    """(id, color): place of the vertex's community among the k largest (or smallest), else -1. -1 takes no part unless keep_noise."""
     by = F.col("size") if smallest else F.col("size").desc()
-    top = sizes(vertices.where("community <> -1")).orderBy(by, "community").limit(k)
+    top = sizes(vertices if keep_noise else vertices.where("community <> -1")).orderBy(by, "community").limit(k)
     top = top.withColumn("color", F.row_number().over(Window.orderBy(by, "community")) - 1)
     return vertices.join(F.broadcast(top.select("community", "color")), "community", "left").select("id", F.coalesce("color", F.lit(-1)).alias("color"))

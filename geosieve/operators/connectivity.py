@@ -10,6 +10,9 @@ from geosieve.functions import euclid
 from geosieve.graph import Graph
 from geosieve.plans.storage import stored
 
+#: Detour of a virtual edge, what a link between trees costs more, and metres a degree (fixed values).
+PENALTY, RESCUE, DEGREE = 1.5, 2.0, 111_000.0
+
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component (its least id) of every vertex, over edges in both directions.
@@ -37,12 +40,45 @@ def representatives(vertices: DataFrame, group: str = "component") -> DataFrame:
     return best.select(group, "r.id", "r.x", "r.y")
 
 
-def nearest_representatives(reps: DataFrame, k: int = 10, scale: float = 1.0, penalty: float = 1.5) -> DataFrame:
+def nearest_in_plane(points: DataFrame, k: int) -> DataFrame:
+    """(a, b, d): the k nearest other points (id, x, y) of each, ties by id; all others where there are fewer.
+
+    Points lie in square cells; those around a point hold all that is nearer than a cell's side. Points whose k-th
+    neighbour there is farther than that are asked again with cells of four times the side.
+    """
+    p = stored(points.select("id", "x", "y"), "points")
+    n, x0, x1, y0, y1 = p.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    k = min(k, n - 1)
+    if k < 1:
+        return p.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("x").alias("d")).limit(0)
+    extent = max(x1 - x0, y1 - y0)
+    side = extent * (k / n) ** 0.5 or 1.0
+    todo, found = p, None
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    while True:
+        at = lambda c, low: F.floor((F.col(c) - low) / side)
+        left = todo.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), at("x", x0).alias("i"), at("y", y0).alias("j"), F.explode(around).alias("o"))
+        left = left.select("a", "ax", "ay", (F.col("i") + F.col("o.i")).alias("i"), (F.col("j") + F.col("o.j")).alias("j"))
+        right = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), at("x", x0).alias("i"), at("y", y0).alias("j"))
+        near = left.join(right, ["i", "j"]).where("a <> b").select("a", "b", euclid("ax", "ay", "bx", "by").alias("d"))
+        near = stored(near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k), "near")
+        sure = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).where(F.lit(side > extent) | ((F.col("n") >= k) & (F.col("far") <= side))).select("a")
+        done = near.join(sure, "a", "left_semi").select("a", "b", "d")
+        found = done if found is None else found.unionByName(done)
+        todo = stored(todo.join(sure.withColumnRenamed("a", "id"), "id", "left_anti"), "todo")
+        if todo.limit(1).count() == 0:
+            return found
+        side *= 4
+
+
+def kth_distance(points: DataFrame, k: int = 10) -> DataFrame:
+    """(id, d): the distance to the k-th nearest of the points (id, x, y), each counting as its own first."""
+    return nearest_in_plane(points, k - 1).groupBy(F.col("a").alias("id")).agg(F.max("d").alias("d"))
+
+
+def nearest_representatives(reps: DataFrame, k: int = 10, scale: float = 1.0, penalty: float = PENALTY) -> DataFrame:
     """(a, b, weight) to the k - 1 nearest other representatives (k counts the point itself)."""
-    p, q = reps.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), reps.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = p.join(q, F.col("a") != F.col("b")).withColumn("d", euclid("ax", "ay", "bx", "by"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return d.withColumn("r", rank).where(F.col("r") < k).select("a", "b", (F.col("d") * scale * penalty).alias("weight"))
+    return nearest_in_plane(reps, k - 1).select("a", "b", (F.col("d") * scale * penalty).alias("weight"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -60,22 +96,60 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         label = stored(components(nodes, tree.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "boruvka")
 
 
-def bridge_chain(reps: DataFrame, scale: float = 1.0, penalty: float = 2.0) -> DataFrame:
+def bridge_chain(reps: DataFrame, scale: float = 1.0, penalty: float = PENALTY * RESCUE) -> DataFrame:
     """Each representative linked to the one before it by id."""
-    w = Window.orderBy("id")
+    w = Window.orderBy("id")  # one row a tree
     rows = reps.select("id", "x", "y", F.lag("id").over(w).alias("a"), F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py")).where("a IS NOT NULL")
     return rows.select("a", F.col("id").alias("b"), (euclid("x", "y", "px", "py") * scale * penalty).alias("weight"))
 
 
-def connect(graph: Graph, k: int = 10, scale: float = 1.0) -> DataFrame:
-    """Virtual edges (src, dst, length, type) that make the graph connected; none if it is."""
-    placed = graph.vertices.join(components(graph.vertices, graph.edges), "id")
-    reps = stored(representatives(placed), "reps")
-    tree = spanning_forest(nearest_representatives(reps, k, scale))
-    trees = components(reps, tree.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    if trees.select("component").distinct().count() > 1:
+def placed(vertices: DataFrame) -> tuple[DataFrame, float] | None:
+    """Vertices with x and y, and metres a unit: those of x, y as they are, else lon, lat in degrees; None without either."""
+    if {"x", "y"} <= set(vertices.columns):
+        return vertices, 1.0
+    if {"lon", "lat"} <= set(vertices.columns):
+        return vertices.withColumn("x", F.col("lon")).withColumn("y", F.col("lat")), DEGREE
+    return None
+
+
+def connect(graph: Graph, k: int = 10, scale: float | None = None, chain_above: int = 5000) -> DataFrame:
+    """Virtual edges (src, dst, length, type) that make the graph connected; none if it is, or if vertices have no place.
+
+    Each component's representative is linked to its nearest ones and the least spanning forest taken; what is still apart
+    is linked, at a higher price, by a spanning tree over the first representatives of the trees, or above
+    `chain_above` trees by a chain.
+    """
+    spark = graph.vertices.sparkSession
+    none = spark.createDataFrame([], "src long, dst long, length double, type string")
+    parts = stored(components(graph.vertices, graph.edges), "parts")
+    at = placed(graph.vertices)
+    if at is None or parts.select("component").distinct().limit(2).count() < 2:
+        return none
+    vertices, metres = at
+    metres = metres if scale is None else scale
+    reps = stored(representatives(vertices.join(parts, "id")), "reps")
+    tree = spanning_forest(nearest_representatives(reps, k, metres))
+    trees = stored(components(reps, tree.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "trees")
+    count = trees.select("component").distinct().count()
+    if count > 1:
         firsts = reps.join(trees.groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("id")), "id")
-        a, b = firsts.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), firsts.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-        meta = a.join(b, F.col("a") < F.col("b")).select("a", "b", (euclid("ax", "ay", "bx", "by") * scale * 2.0).alias("weight"))
-        tree = tree.unionByName(spanning_forest(meta))
+        if count > chain_above:
+            tree = tree.unionByName(bridge_chain(firsts, metres))
+        else:  # at most chain_above points
+            a, b = firsts.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), firsts.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+            meta = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (euclid("ax", "ay", "bx", "by") * metres * PENALTY * RESCUE).alias("weight"))
+            tree = tree.unionByName(spanning_forest(meta))
     return tree.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").alias("length"), F.lit("virtual").alias("type"))
+
+
+def connected(graph: Graph, k: int = 10, weight: str = "length") -> Graph:
+    """The graph with its virtual edges appended: their weight in the column `weight`, type 'virtual'.
+
+    Without that column all edges that were there get 1.0. New eids follow the largest.
+    """
+    extra = connect(graph, k).withColumnRenamed("length", weight)
+    edges = graph.edges if weight in graph.edges.columns else graph.edges.withColumn(weight, F.lit(1.0))
+    if "eid" in edges.columns:
+        top = edges.agg(F.max("eid")).first()[0]
+        extra = extra.withColumn("eid", F.row_number().over(Window.orderBy("src", "dst")).cast("long") + F.lit(-1 if top is None else top))
+    return Graph(graph.vertices, edges.unionByName(extra, allowMissingColumns=True))

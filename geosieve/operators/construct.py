@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from geosieve.functions import parse_maxspeed
 from geosieve.graph import Graph, incident
 from geosieve.operators.connectivity import components
+from geosieve.plans.storage import stored
 
 
 def edge_speeds(edges: DataFrame) -> DataFrame:
@@ -49,14 +50,25 @@ def map_and_dedup(sample: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def simplify_chains(graph: Graph) -> DataFrame:
-    """Undirected edges (a, b, length, parts) with vertices of exactly two neighbours contracted; rings stay as they are."""
-    both = incident(graph.edges.where("src <> dst"))
-    inner = both.groupBy("id").agg(F.count_distinct("other").alias("n"), F.count(F.lit(1)).alias("d")).where("n = 2 AND d = 2").select("id")
-    e = graph.edges.where("src <> dst").select("eid", "src", "dst", "length")
-    marked = e.join(inner.withColumnRenamed("id", "src").withColumn("s", F.lit(True)), "src", "left").join(inner.withColumnRenamed("id", "dst").withColumn("t", F.lit(True)), "dst", "left")
-    links = marked.where("s AND t").select("src", "dst")
-    chain = components(inner, links).withColumnRenamed("component", "chain")
-    parts = marked.where("s OR t").select("eid", "length", F.when(F.col("s"), F.col("src")).otherwise(F.col("dst")).alias("id"), F.expr("CASE WHEN s AND t THEN NULL WHEN s THEN dst ELSE src END").alias("end"))
-    whole = parts.join(chain, "id").groupBy("chain").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("parts"), F.min("end").alias("a"), F.max("end").alias("b"))
-    plain = marked.where("s IS NULL AND t IS NULL").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "length", F.lit(1).cast("long").alias("parts"))
-    return plain.unionByName(whole.select(F.coalesce("a", "chain").alias("a"), F.coalesce("b", "chain").alias("b"), "length", "parts"))
+    """Directed edges (eid, src, dst, length, parts, highway if there is one) with pass-through vertices contracted.
+
+    A vertex is passed through if it has exactly two neighbours and either one edge in and one out (one-way), or both with
+    each neighbour (two-way). At such a vertex an edge goes on in the one that doesn't lead back; edges that go on in
+    each other become one, in each direction: lengths add up, classes are collected in order, eid is the least. Other
+    vertices, loops, dead ends, and rings without any other vertex stay as they are.
+    """
+    tag = ["highway"] if "highway" in graph.edges.columns else []
+    e = stored(graph.edges.select("eid", "src", "dst", "length", *tag), "roads")
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    seen = ends.groupBy("id").agg(F.count_distinct("other").alias("n"), F.count(F.lit(1)).alias("d"), F.sum("out").alias("o"), F.count_distinct("other", "out").alias("kinds"), F.max((F.col("other") == F.col("id")).cast("int")).alias("loop"))
+    inner = stored(seen.where("n = 2 AND loop = 0 AND ((d = 2 AND o = 1) OR (d = 4 AND kinds = 4))").select("id"), "inner")
+    into = e.join(inner, F.col("dst") == F.col("id"), "left_semi").select(F.col("eid").alias("u"), F.col("src").alias("from"), F.col("dst").alias("at"))
+    onward = into.join(e.select(F.col("eid").alias("v"), F.col("src").alias("at"), F.col("dst").alias("to")), "at").where("from <> to")
+    chain = components(e.select(F.col("eid").alias("id")), onward.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("eid"), F.col("component").alias("chain"))
+    mark = lambda end: inner.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+    rows = e.join(chain, "eid").join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
+    tags = [F.array_join(F.array_sort(F.collect_set("highway")), ",").alias("highway")] if tag else []
+    whole = rows.groupBy("chain").agg(F.min(F.when(F.col("_src").isNull(), F.col("src"))).alias("src"), F.min(F.when(F.col("_dst").isNull(), F.col("dst"))).alias("dst"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("parts"), *tags)
+    whole = stored(whole, "chains")
+    rings = rows.join(whole.where("src IS NULL").select("chain"), "chain", "left_semi").select("eid", "src", "dst", "length", F.lit(1).cast("long").alias("parts"), *tag)
+    return whole.where("src IS NOT NULL").select(F.col("chain").alias("eid"), "src", "dst", "length", "parts", *tag).unionByName(rings)

@@ -1,42 +1,136 @@
-"""Shortest paths by frontier relaxation, nearest centres, sentinels."""
+"""Shortest paths, nearest centres, sentinels: in the tasks for small graphs, by frontier relaxation for large ones."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from heapq import heappop, heappush
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geosieve.graph import Graph, symmetric
+from geosieve.graph import Graph, symmetric, undirected_min
 from geosieve.plans.storage import stored
 
 
-def nearest_center(graph: Graph, sample: DataFrame) -> DataFrame:
+#: Undirected edges up to which a graph is sent to the tasks whole (some megabytes), to be searched there by Dijkstra.
+SMALL_EDGES = 200_000
+
+
+@dataclass
+class Net:
+    """Neighbours of each vertex: those of ids[i] are far[begins[i] : begins[i + 1]] (places in ids) at `length`."""
+
+    ids: np.ndarray
+    begins: np.ndarray
+    far: np.ndarray
+    length: np.ndarray
+
+    def places(self, ids: list) -> list[int]:
+        """Places of those ids that have edges."""
+        at = np.searchsorted(self.ids, ids)
+        return [int(i) if i < len(self.ids) and self.ids[i] == x else -1 for i, x in zip(at, ids)]
+
+    def reached(self, starts: list[tuple[float, int, int]], most: np.ndarray | None = None) -> dict[int, tuple[float, int]]:
+        """Dijkstra from (d, owner, place): the least (d, owner) of each place; with `most`, only what is nearer than that."""
+        done: dict[int, tuple[float, int]] = {}
+        heap = sorted(starts)
+        while heap:
+            d, owner, at = heappop(heap)
+            if at in done:
+                continue
+            done[at] = (d, owner)
+            a, b = self.begins[at], self.begins[at + 1]
+            for to, length in zip(self.far[a:b].tolist(), self.length[a:b].tolist()):
+                if to not in done and (most is None or d + length < most[to]):
+                    heappush(heap, (d + length, owner, to))
+        return done
+
+
+def small_net(graph: Graph, most: int = SMALL_EDGES) -> Net | None:
+    """The graph as a Net if it has at most `most` undirected edges (counted here), else None."""
+    one = undirected_min(graph.edges).where("a <> b")
+    rows = one.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return None
+    a, b, w = (rows[c].to_numpy() for c in ("a", "b", "length"))
+    src, dst, length = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    order = np.lexsort((dst, src))
+    ids, begins = np.unique(src[order], return_index=True)
+    return Net(ids, np.append(begins, len(src)), np.searchsorted(ids, dst[order]), length[order])
+
+
+def nearest_center(graph: Graph, sample: DataFrame, by: tuple[str, ...] = (), small: int = SMALL_EDGES) -> DataFrame:
     """id, d, owner of every vertex: distance to the nearest sampled one, and its position; ties by position; d null and owner -1 if none reaches it.
 
-    One relaxation for all sources together: each vertex keeps only its best (d, owner), and only vertices that
-    got better in a round send anything in the next one.
+    With `by`, columns of the sample that tell several samples apart: an answer for each of them. Graphs of at most `small`
+    edges are searched in a task for each sample; for larger ones all samples are relaxed together: each vertex keeps
+    only its best (d, owner), and only vertices that got better in a round send anything in the next one.
     """
-    net = stored(symmetric(graph.edges), "net")
-    best = stored(sample.groupBy("id").agg(F.min(F.struct(F.lit(0.0).alias("d"), F.col("pos").cast("long").alias("owner"))).alias("b")), "relax")
-    front = best
-    while True:
-        offers = front.join(net, front["id"] == net["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("b.d") + F.col("length")).alias("d"), F.col("b.owner").alias("owner"))).alias("o"))
-        old = best.select("id", "b")
-        merged = stored(offers.join(old, "id", "full_outer").select("id", F.least("o", "b").alias("b"), (F.col("b").isNull() | (F.col("o") < F.col("b"))).alias("fresh")), "relax")
-        front = merged.where("fresh").select("id", "b")
-        best = merged.select("id", "b")
-        if front.limit(1).count() == 0:
-            break
-    return graph.vertices.select("id").join(best, "id", "left").select("id", F.col("b.d").alias("d"), F.coalesce("b.owner", F.lit(-1)).alias("owner"))
+    keys = list(by)
+    starts = sample.groupBy(*keys, "id").agg(F.min(F.col("pos").cast("long")).alias("owner"))
+    net = small_net(graph, small)
+    if net is not None:
+        shared = graph.vertices.sparkSession.sparkContext.broadcast(net)
+        schema = starts.select(*keys, "id").schema.add("d", "double").add("owner", "long")
+
+        def run(key, rows):
+            import pyarrow as pa
 
+            n, ids, owners = shared.value, rows["id"].to_pylist(), rows["owner"].to_pylist()
+            at = n.places(ids)
+            found = n.reached([(0.0, o, i) for i, o in zip(at, owners) if i >= 0])
+            alone = [(x, 0.0, o) for x, o, i in zip(ids, owners, at) if i < 0]
+            out = [(int(n.ids[i]), d, o) for i, (d, o) in found.items()] + alone
+            columns = [pa.array([k.as_py()] * len(out), k.type) for k in key] + [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.int64()))]
+            return pa.table(columns, names=[f.name for f in schema.fields])
+
+        constant = starts if keys else starts.withColumn("_all", F.lit(0))
+        if not keys:
+            schema = constant.select("_all", "id").schema.add("d", "double").add("owner", "long")
+        best = constant.groupBy(*(keys or ["_all"])).applyInArrow(run, schema).select(*keys, "id", F.struct("d", "owner").alias("b"))
+    else:
+        edges = stored(symmetric(graph.edges), "net")
+        best = stored(starts.select(*keys, "id", F.struct(F.lit(0.0).alias("d"), "owner").alias("b")), "relax")
+        front = best
+        while True:
+            offers = front.join(edges, front["id"] == edges["src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.min(F.struct((F.col("b.d") + F.col("length")).alias("d"), F.col("b.owner").alias("owner"))).alias("o"))
+            merged = stored(offers.join(best, [*keys, "id"], "full_outer").select(*keys, "id", F.least("o", "b").alias("b"), (F.col("b").isNull() | (F.col("o") < F.col("b"))).alias("fresh")), "relax")
+            front = merged.where("fresh").select(*keys, "id", "b")
+            best = merged.select(*keys, "id", "b")
+            if front.limit(1).count() == 0:
+                break
+    every = graph.vertices.select("id")
+    if keys:
+        every = every.crossJoin(F.broadcast(starts.select(*keys).distinct()))  # a row for each sample that is asked for
+    return every.join(best, [*keys, "id"], "left").select(*keys, "id", F.col("b.d").alias("d"), F.coalesce("b.owner", F.lit(-1)).alias("owner"))
 
-def shortest_paths(graph: Graph, sources: DataFrame) -> DataFrame:
+
+def shortest_paths(graph: Graph, sources: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(source, id, d) from each source to all it reaches; a missing row is unreachable."""
-    net = stored(symmetric(graph.edges), "net")
-    best = stored(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("d", F.lit(0.0)), "paths")
+    ids = sources.select(F.col("id").alias("source")).distinct()
+    net = small_net(graph, small)
+    if net is not None:
+        spark = graph.vertices.sparkSession
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for source, at in zip(batch["source"].to_pylist(), shared.value.places(batch["source"].to_pylist())):
+                    found = shared.value.reached([(0.0, 0, at)]) if at >= 0 else {}
+                    to = shared.value.ids[list(found)] if at >= 0 else np.array([source])
+                    d = [x for x, _ in found.values()] if at >= 0 else [0.0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), source)), pa.array(to), pa.array(d, pa.float64())], ["source", "id", "d"])
+
+        return stored(ids.repartition("source").mapInArrow(run, "source long, id long, d double"), "paths")
+    net_rows = stored(symmetric(graph.edges), "net")
+    best = stored(ids.select("source", F.col("source").alias("id"), F.lit(0.0).alias("d")), "paths")
     front = best
     while True:
-        offers = front.join(net, front["id"] == net["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("length")).alias("o"))
+        offers = front.join(net_rows, front["id"] == net_rows["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("length")).alias("o"))
         merged = stored(offers.join(best, ["source", "id"], "full_outer").select("source", "id", F.least("o", "d").alias("d"), (F.col("d").isNull() | (F.col("o") < F.col("d"))).alias("fresh")), "paths")
         front, best = merged.where("fresh").drop("fresh"), merged.drop("fresh")
         if front.limit(1).count() == 0:

@@ -10,11 +10,11 @@ from geosieve.operators.distances import nearest_center, replace_infinite, short
 from geosieve.plans.storage import stored
 
 
-def coverage(vertices: DataFrame, sample: DataFrame, legacy: bool = False) -> DataFrame:
-    """Communities with a sampled vertex by all of them. -1 counts in neither; with `legacy`, above the line."""
-    counts = vertices.join(sample.select("id").distinct(), "id").groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    full = vertices.where("community <> -1").agg(F.count_distinct("community").alias("n_comm_full"))
-    got = counts.where("true" if legacy else "community <> -1").agg(F.count(F.lit(1)).alias("n_comm_repr"))
+def coverage(vertices: DataFrame, sample: DataFrame, legacy: bool = False, keep_noise: bool = False) -> DataFrame:
+    """Communities with a sampled vertex by all of them. -1 counts in neither; with `legacy` above the line, with `keep_noise` on both sides."""
+    counts = vertices.join(sample.select("id").distinct(), "id").where("true" if legacy or keep_noise else "community <> -1").groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    full = vertices.where("true" if keep_noise else "community <> -1").agg(F.count_distinct("community").alias("n_comm_full"))
+    got = counts.agg(F.count(F.lit(1)).alias("n_comm_repr"))
     return full.crossJoin(got).select("n_comm_full", "n_comm_repr", (F.col("n_comm_repr") / F.nullif("n_comm_full", F.lit(0))).alias("cov"))
 
 
@@ -28,8 +28,7 @@ def balance(vertices: DataFrame, sample: DataFrame) -> DataFrame:
 
 def distance_summary(distances: DataFrame, names: dict[str, str]) -> DataFrame:
     """Aggregates of d by name: max, min, mean, or p<percent> (exact, interpolated)."""
-    made = {"max": F.max("d"), "min": F.min("d"), "mean": F.avg("d")}
-    return distances.agg(*((made.get(kind) if kind in made else F.expr(f"percentile(d, {int(kind[1:]) / 100})")).alias(name) for name, kind in names.items()))
+    return distances.agg(*_summaries(names))
 
 
 GLOBAL = {"global_R_max": "max", "global_mean": "mean", "global_median": "p50", "global_p90": "p90"}
@@ -80,3 +79,44 @@ def evaluate(graph: Graph, sample: DataFrame) -> DataFrame:
     rows = rows.crossJoin(distance_summary(replace_infinite(near, []), GLOBAL))
     rows = rows.crossJoin(distance_summary(replace_infinite(pair_distances(graph, sample), []), DIVERSITY))
     return rows.crossJoin(agreement(near.join(graph.vertices.select("id", F.col("community").alias("label")), "id")))
+
+
+#: The measures of an experiment, and those that are drawn (fixed values).
+MEASURES = ("efficiency", "cov", "balance_cv", "balance_entropy", "global_R_max", "global_mean", "global_median", "global_p90", "div_min_sep", "div_mean", "div_median", "div_p10", "div_p90")
+DRAWN = ("efficiency", "cov", "global_R_max", "global_p90", "div_min_sep", "div_p10", "balance_cv", "balance_entropy")
+
+
+def evaluate_runs(graph: Graph, samples: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """A row of MEASURES for each (algo, k, repeat) of `samples` (algo, k, repeat, pos, id), and k_eff.
+
+    Samples may hold ids outside the graph, or an id twice: k_eff counts the distinct ones inside, efficiency is k_eff by k,
+    and only they are measured. All samples are searched together, each vertex keeping one distance for each. With
+    `targets` (id), global distances are of those vertices only.
+    """
+    keys = ["algo", "k", "repeat"]
+    inside = samples.join(graph.vertices.select("id"), "id").groupBy(*keys, "id").agg(F.min("pos").alias("pos"))
+    inside = stored(inside, "inside")
+    runs = samples.select(*keys).distinct()
+    count = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("k_eff"))
+    label = graph.vertices.where("community <> -1").select("id", "community")
+    full = label.agg(F.count_distinct("community").alias("full"))
+    by = inside.join(label, "id").groupBy(*keys, "community").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    even = by.groupBy(*keys).agg(F.count(F.lit(1)).alias("got"), (F.stddev_pop("n") / F.avg("n")).alias("balance_cv"), F.when(F.count(F.lit(1)) == 1, 1.0).otherwise(entropy / F.log(F.count(F.lit(1)))).alias("balance_entropy"))
+    near = stored(nearest_center(graph, inside, tuple(keys)), "near")
+    near = near if targets is None else near.join(targets.select("id").distinct(), "id", "left_semi")
+    paths = shortest_paths(graph, inside).join(inside.select("id").distinct(), "id", "left_semi")
+    p, q = inside.select(*keys, F.col("pos").alias("p"), F.col("id").alias("source")), inside.select(*keys, F.col("pos").alias("q"), "id")
+    pairs = p.join(q, keys).where("p < q").join(paths, ["source", "id"], "left")
+    part = lambda rows, names: replace_infinite(rows, keys).groupBy(*keys).agg(*_summaries(names))
+    out = runs.join(count, keys, "left").join(even, keys, "left").join(part(near, GLOBAL), keys, "left").join(part(pairs, DIVERSITY), keys, "left").crossJoin(F.broadcast(full))
+    far = float("inf")
+    none = {"k_eff": F.lit(0), "cov": F.lit(0.0)} | dict.fromkeys(GLOBAL, F.lit(far)) | dict.fromkeys(DIVERSITY, F.lit(0.0))
+    out = out.withColumn("cov", F.col("got") / F.nullif("full", F.lit(0))).withColumn("efficiency", F.coalesce("k_eff", F.lit(0)) / F.col("k"))
+    empty = F.col("k_eff").isNull()
+    return out.select(*keys, *(F.when(empty, none[c]).otherwise(F.col(c)).alias(c) if c in none else F.col(c) for c in ("k_eff", *MEASURES)))
+
+
+def _summaries(names: dict[str, str]) -> list:
+    made = {"max": F.max("d"), "min": F.min("d"), "mean": F.avg("d")}
+    return [(made.get(kind) if kind in made else F.expr(f"percentile(d, {int(kind[1:]) / 100})")).alias(name) for name, kind in names.items()]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geosieve.functions import draw
 from geosieve.graph import Graph
-from geosieve.operators.distances import nearest_center
+from geosieve.operators.distances import SMALL_EDGES, nearest_center, small_net
 from geosieve.plans.storage import stored
 
 
@@ -26,40 +27,71 @@ def community_representatives(vertices: DataFrame, degree: DataFrame) -> DataFra
     return best.select("community", "r.id", (-F.col("r.d")).alias("degree"))
 
 
-def round_robin(vertices: DataFrame, k: int, seed: int, order: DataFrame | None = None) -> DataFrame:
-    """One vertex of each community a pass, without replacement; when all are used up, a new cycle with new draws.
+def round_robin(vertices: DataFrame, k: int, seed: int, order: DataFrame | None = None, reshuffle_on_reset: bool = True, keep_noise: bool = False) -> DataFrame:
+    """One vertex of each community a pass, without replacement; when all are used up, a new cycle.
 
-    Communities stand in the drawn order, or in that of `order` (community, city_pos); then only its communities count.
+    A new cycle has new draws, or with reshuffle_on_reset=False those of the first. Communities stand in the drawn order,
+    or in that of `order` (community, city_pos); then only its communities count. -1 is no community unless keep_noise.
     The r-th vertex of the p-th community in a cycle has the key (cycle, r, p), so no loop is needed. No community gives
     more than k in a cycle, so those are cut before the final order.
     """
-    pool = vertices.where("community <> -1").select("id", "community")
+    pool = vertices.select("id", "community") if keep_noise else vertices.where("community <> -1").select("id", "community")
     if order is not None:
-        pool = pool.join(F.broadcast(order), "community")
+        pool = pool.join(order, "community")
     total = pool.count()
     if total == 0 or k <= 0:
         return pool.limit(0).select(F.lit(0).alias("pos"), "id")
     rows = pool.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(k / total) - 1))))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("cycle", "community").orderBy(draw(seed, F.col("cycle"), F.col("id")), "id"))).where(F.col("r") <= k)
-    place = F.struct(F.col("city_pos").alias("p")) if order is not None else F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cycle").cast("string"), F.lit("c"), F.col("community").cast("string"))).alias("p"), F.col("community").alias("q"))
+    drawn = (F.col("cycle") if reshuffle_on_reset else F.lit(0)).cast("string")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("cycle", "community").orderBy(draw(seed, drawn, F.col("id")), "id"))).where(F.col("r") <= k)
+    place = F.struct(F.col("city_pos").alias("p")) if order is not None else F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), drawn, F.lit("c"), F.col("community").cast("string"))).alias("p"), F.col("community").alias("q"))
     first = rows.withColumn("place", place).orderBy("cycle", "r", "place").limit(k)
     return first.select((F.row_number().over(Window.orderBy("cycle", "r", "place")) - 1).alias("pos"), "id")
 
 
-def farthest_first(graph: Graph, k: int, degree: DataFrame, among: DataFrame | None = None) -> DataFrame:
+def farthest_first(graph: Graph, k: int, degree: DataFrame, among: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
     """Starts at the largest degree; then again and again the vertex farthest from all chosen ones. Ties by id.
 
-    Each choice is one relaxation from the new vertex alone; the running minimum is a column. Vertices that nothing
-    reaches are farther than all. With `among`, only its ids are chosen.
+    Vertices that nothing reaches are farther than all. With `among`, only its ids are chosen. In a graph of at most
+    `small` edges one task makes all choices, and a search from a new vertex goes only where it is nearer than the
+    others; in larger ones each choice is one relaxation from the new vertex alone, and the running minimum a column.
     """
     pool = graph.vertices.select("id") if among is None else among.select("id")
-    start = pool.join(degree, "id", "left").orderBy(F.coalesce("degree", F.lit(0)).desc(), "id").first()["id"]
-    chosen, near = [start], None
+    ranked = pool.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
     spark = graph.vertices.sparkSession
+    net = small_net(graph, small)
+    if net is not None:
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(rows):
+            import pyarrow as pa
+
+            n, ids = shared.value, np.array(rows["id"].to_pylist())
+            order = np.lexsort((ids, -np.array(rows["degree"].to_pylist())))
+            at, near, chosen = np.array(n.places(ids)), np.full(len(n.ids), np.inf), [int(ids[order[0]])]
+            left = np.ones(len(ids), bool)
+            while True:
+                left[ids == chosen[-1]] = False
+                if len(chosen) >= k or not left.any():
+                    break
+                (place,) = n.places([chosen[-1]])
+                if place >= 0:
+                    for i, (d, _) in n.reached([(0.0, 0, place)], near).items():
+                        near[i] = d
+                far = np.where(at >= 0, near[at], np.inf)
+                far[~left] = -1
+                chosen.append(int(ids[far == far.max()].min()))
+            return pa.table({"pos": pa.array(range(len(chosen)), pa.int64()), "id": pa.array(chosen, pa.int64())})
+
+        return ranked.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(run, "pos long, id long")
+    first = ranked.orderBy(F.col("degree").desc(), "id").first()
+    if first is None:
+        return spark.createDataFrame([], "pos long, id long")
+    chosen, seen = [first["id"]], None
     while len(chosen) < k:
-        d = nearest_center(graph, spark.createDataFrame([(0, chosen[-1])], "pos long, id long")).select("id", "d").join(pool, "id", "left_semi")
-        near = stored(d if near is None else near.join(d.withColumnRenamed("d", "n"), "id").select("id", F.least("d", "n").alias("d")), "farthest")
-        far = near.where(~F.col("id").isin(chosen)).orderBy(F.col("d").desc_nulls_first(), "id").first()
+        d = nearest_center(graph, spark.createDataFrame([(0, chosen[-1])], "pos long, id long"), small=small).select("id", "d").join(pool, "id", "left_semi")
+        seen = stored(d if seen is None else seen.join(d.withColumnRenamed("d", "n"), "id").select("id", F.least("d", "n").alias("d")), "farthest")
+        far = seen.where(~F.col("id").isin(chosen)).orderBy(F.col("d").desc_nulls_first(), "id").first()
         if far is None:
             break
         chosen.append(far["id"])

@@ -74,18 +74,26 @@ def sample_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(draw(seed, F.col("id")), "id").limit(n)
 
 
-def knee_point(distances: DataFrame) -> DataFrame:
-    """Of the sorted distances the one farthest from the chord between first and last; 0.1 below two points."""
+def knee_point(distances: DataFrame, flat: float | None = None) -> DataFrame:
+    """Of the sorted distances the one farthest from the chord between first and last; 0.1 below two points.
+
+    Where the chord has no length the first distance, or `flat` if given (the other legacy form takes 0.5).
+    """
     w = Window.orderBy("d", "id")
     p = distances.select("d", (F.row_number().over(w) - 1).cast("double").alias("i"))
     ends = p.agg(F.max("i").alias("n"), F.min("d").alias("y0"), F.max("d").alias("y1"))
     off = F.abs(F.col("n") * (F.col("d") - F.col("y0")) - F.col("i") * (F.col("y1") - F.col("y0")))
-    best = p.crossJoin(F.broadcast(ends)).agg(F.max_by("d", F.struct(F.round(off, 9), -F.col("i"))).alias("knee"), F.count(F.lit(1)).alias("c"))
-    return best.select(F.when(F.col("c") < 2, 0.1).otherwise(F.col("knee")).alias("knee"))
+    best = p.crossJoin(F.broadcast(ends)).agg(F.max_by("d", F.struct(F.round(off, 9), -F.col("i"))).alias("knee"), F.count(F.lit(1)).alias("c"), F.min("d").alias("y0"), F.max("d").alias("y1"))
+    ends_equal = F.col("y0") == F.col("y1")
+    level = F.col("knee") if flat is None else F.when(ends_equal, F.lit(float(flat))).otherwise(F.col("knee"))
+    return best.select(F.when(F.col("c") < 2, 0.1).otherwise(level).alias("knee"))
 
 
 def drop_rural(labelled: DataFrame) -> DataFrame:
-    """(id, label, score) without the cluster of lowest mean score; noise (-1) stays."""
+    """(id, label, score) without the cluster of lowest mean score; noise (-1) stays. Of noise alone, scores from the lower quartile on."""
+    if labelled.where("label <> -1").limit(1).count() == 0:
+        quarter = labelled.agg(F.expr("percentile(score, 0.25)").alias("_quarter"))
+        return labelled.crossJoin(F.broadcast(quarter)).where("score >= _quarter").select(*labelled.columns)
     low = labelled.where("label <> -1").groupBy("label").agg(F.avg("score").alias("m")).orderBy("m", "label").limit(1).select("label")
     return labelled.join(F.broadcast(low), "label", "left_anti")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from geosieve.operators.experiment import ALGORITHMS
+from geosieve.operators.metrics import DRAWN, MEASURES
+from geosieve.operators.scoring import PARTS, RANGES
+
 _FAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 EMB = f"""ev AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label AS community FROM embeddings),
 ee AS (SELECT src * 3 + r - 1 AS eid, src, dst, length FROM (SELECT a.id AS src, b.id AS dst, {_FAR} AS length, row_number() OVER (PARTITION BY a.id ORDER BY {_FAR}, b.id) AS r FROM ev a JOIN ev b ON a.id <> b.id) WHERE r <= 3),
@@ -43,7 +47,7 @@ def _drawn(seed: int) -> str:
 
 _POOL = "SELECT id, community FROM ev WHERE community <> -1"
 _REPS = "reps AS (SELECT community, id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 12), id) AS n FROM (SELECT *, avg(x) OVER (PARTITION BY community) AS mx, avg(y) OVER (PARTITION BY community) AS my FROM ev)) WHERE n = 1)"
-_SAMPLE = "s AS (SELECT id // 50 AS pos, id FROM ev WHERE id % 50 = 0)"
+_SAMPLE = _rr(_POOL, 25, 7, _drawn(7)) + ", s AS (SELECT pos, id FROM sample)"
 _COMP = "comp AS (WITH RECURSIVE r(id, component) USING KEY (id) AS (SELECT id, id FROM ev UNION SELECT e.dst, min(r.component) FROM r JOIN sym e ON e.src = r.id JOIN recurring.r o ON o.id = e.dst WHERE r.component < o.component GROUP BY e.dst) SELECT * FROM r)"
 
 
@@ -57,6 +61,14 @@ _COUNTS = "cnt AS (SELECT community, count(*) AS n FROM ev JOIN s USING (id) WHE
 _BAL = "round(stddev_pop(n) / avg(n), 6) AS balance_cv, round(CASE WHEN count(*) = 1 THEN 1 ELSE (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)) END, 6) AS balance_entropy"
 
 
+_TOP = "SELECT community FROM {} WHERE community <> -1 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4"
+_PRUNED = EMB.replace("ev AS (", "evf AS (", 1).replace("ee AS (", "eef AS (", 1).replace("FROM ev a JOIN ev b", "FROM evf a JOIN evf b").replace("und AS (", f"ev AS (SELECT * FROM evf WHERE community IN ({_TOP.format('evf')})),\nee AS (SELECT * FROM eef WHERE src IN (SELECT id FROM ev) AND dst IN (SELECT id FROM ev)),\nund AS (", 1)
+
+
+def pruned(body: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([_PRUNED, *more]) + "\n" + body
+
+
 def emb(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([EMB, *more]) + "\n" + body
 
@@ -69,20 +81,6 @@ def _r(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
-def _runs() -> str:
-    parts = []
-    for repeat in range(2):
-        seed = 7 + repeat
-        rr = "(WITH " + _rr(_POOL, 20, seed, _drawn(seed)) + " SELECT pos, id FROM sample)"
-        rnd = f"(SELECT row_number() OVER (ORDER BY md5('{seed}:' || id), id) - 1 AS pos, id FROM ev QUALIFY pos < 20)"
-        for algo, s in (("round_robin", rr), ("random", rnd)):
-            for k in (10, 20):
-                parts.append(f"SELECT '{algo}' AS algo, {k}::BIGINT AS k, {repeat}::BIGINT AS repeat, count(*) / (SELECT count(DISTINCT community) FROM ev)::DOUBLE AS cov, stddev_pop(n) / avg(n) AS balance_cv, CASE WHEN count(*) = 1 THEN 1 ELSE (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)) END AS balance_entropy FROM (SELECT community, count(*) AS n FROM ev JOIN {s} USING (id) WHERE pos < {k} GROUP BY 1)")
-    return "runs AS (" + "\nUNION ALL ".join(parts) + ")"
-
-
-_AGG = "agg AS (SELECT algo, k, " + ", ".join(f"avg({m}) AS {m}_mean, coalesce(stddev_pop({m}), 0) AS {m}_std" for m in ("cov", "balance_cv", "balance_entropy")) + " FROM runs GROUP BY algo, k)"
-
 _CREPS = "reps AS (SELECT community, id, x, y, degree FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS n FROM ev JOIN deg USING (id) WHERE community <> -1) WHERE n = 1)"
 
 
@@ -95,19 +93,17 @@ def _farthest(pool: str, matrix: str, k: str) -> str:
 
 _RING = f"SELECT a.id AS a, b.id AS b, {_FAR} AS d FROM reps a JOIN reps b ON a.id <> b.id"
 _ALL = "SELECT s AS a, id AS b, d FROM pth"
-_CORES = f"near AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON {_FAR} <= 0.05::DOUBLE), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 10), cl AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), lab AS (WITH RECURSIVE r(id, label) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT e.b, min(r.label) FROM r JOIN cl e ON e.a = r.id JOIN recurring.r o ON o.id = e.b WHERE r.label < o.label GROUP BY e.b) SELECT * FROM r)"
-_RANGES = {"log_degree": (0.6, 1.2), "clustering": (0.1, 0.9), "freq_residential": (0.2, 1.4), "avg_edge_len": (-1.8, 1.6), "freq_motorway": (-1.6, 1.5), "avg_maxspeed": (-1.8, 1.6)}
-
-
+_CORES = f"near AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON {_FAR} <= (SELECT knee FROM kk)), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 10), cl AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), lab AS (WITH RECURSIVE r(id, label) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT e.b, min(r.label) FROM r JOIN cl e ON e.a = r.id JOIN recurring.r o ON o.id = e.b WHERE r.label < o.label GROUP BY e.b) SELECT * FROM r)"
 def _trials(n: int) -> str:
-    """tj (trial, objective, d_<feature>, w_<feature>) of n drawn weight vectors; ranges as (start, width)."""
-    raw = ", ".join(f"{a}::DOUBLE + {w}::DOUBLE * (('0x' || md5('7:' || trial || ':{c}')[1:8])::BIGINT / 4294967296.0::DOUBLE) AS w_{c}" for c, (a, w) in _RANGES.items())
+    """tj (trial, objective, d_<feature>, w_<feature>) of n drawn weight vectors."""
+    raw = ", ".join(f"{a}::DOUBLE + ({b}::DOUBLE - {a}::DOUBLE) * (('0x' || md5('7:' || trial || ':{c}')[1:8])::BIGINT / 4294967296.0::DOUBLE) AS w_{c}" for c, (a, b) in RANGES.items())
     unit = ", ".join(f"w_{c} / (sqrt(" + " + ".join(f"w_{x} * w_{x}" for x in _F) + f") + 1e-8::DOUBLE) AS w_{c}" for c in _F)
     delta = ", ".join(f"avg({c}) FILTER (s >= hi) - avg({c}) FILTER (s <= lo) AS d_{c}" for c in _F)
     score = " + ".join(f"{c} * w_{c}" for c in _F)
+    total = " + ".join(f"({sign}::DOUBLE * d_{c} - {penalty}::DOUBLE * (d_{c} {'<' if sign > 0 else '>'} 0)::INT)" for c, (sign, penalty) in PARTS.items())
     return f"""tw AS MATERIALIZED (SELECT trial, {unit} FROM (SELECT trial, {raw} FROM range({n}) t(trial))), sc AS MATERIALIZED (SELECT trial, {", ".join(_F)}, {score} AS s FROM z, tw),
 ct AS (SELECT trial, quantile_cont(s, 0.2) AS lo, quantile_cont(s, 0.8) AS hi FROM sc GROUP BY trial), dl AS (SELECT trial, {delta} FROM sc JOIN ct USING (trial) GROUP BY trial),
-tj AS (SELECT *, d_log_degree + 0.8::DOUBLE * d_freq_residential + 0.25::DOUBLE * d_clustering - 0.8::DOUBLE * d_avg_edge_len - 0.6::DOUBLE * d_freq_motorway - 0.5::DOUBLE * d_avg_maxspeed - 5 * (d_log_degree < 0)::INT - 3 * (d_freq_residential < 0)::INT - 3 * (d_avg_edge_len > 0)::INT - 3 * (d_freq_motorway > 0)::INT - 2 * (d_avg_maxspeed > 0)::INT AS objective FROM dl JOIN tw USING (trial))"""
+tj AS (SELECT *, {total} AS objective FROM dl JOIN tw USING (trial))"""
 
 
 
@@ -122,6 +118,55 @@ mst AS (SELECT a, b, weight FROM me WHERE NOT EXISTS (SELECT 1 FROM mr WHERE mr.
 _PLACED = "reps AS (SELECT component, id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 12), id) AS n FROM (SELECT id, x, y, component, avg(x) OVER (PARTITION BY component) AS mx, avg(y) OVER (PARTITION BY component) AS my FROM ev JOIN comp USING (id))) WHERE n = 1)"
 
 
+def _samples(algorithms: tuple[str, ...] = tuple(ALGORITHMS), ks: tuple[int, ...] = (10, 20), repeats: int = 2, first: int = 7) -> str:
+    """sam (algo, k, repeat, pos, id), and what each sample is worth: runs."""
+    order = "SELECT ev.id, community, step AS city_pos FROM ev JOIN (SELECT step, community FROM co JOIN reps USING (id)) USING (community) WHERE step < {k}"
+    parts = []
+    for repeat in range(repeats):
+        seed = first + repeat
+        for k in ks:
+            of = {
+                "full_random": f"SELECT row_number() OVER (ORDER BY md5('{seed}:' || id), id) - 1 AS pos, id FROM evf QUALIFY pos < {k}",
+                "pruned_random": f"SELECT row_number() OVER (ORDER BY md5('{seed}:' || id), id) - 1 AS pos, id FROM ev QUALIFY pos < {k}",
+                "round_robin": "WITH " + _rr(_POOL, max(ks), seed, _drawn(seed)) + f" SELECT pos, id FROM sample WHERE pos < {k}",
+                "fft": f"SELECT step AS pos, id FROM fo WHERE step < {k}",
+                "hybrid": "WITH " + _rr(order.format(k=k), k, seed, "city_pos") + " SELECT pos, id FROM sample",
+            }
+            parts += [f"SELECT '{ALGORITHMS[a]}' AS algo, {k}::BIGINT AS k, {repeat}::BIGINT AS repeat, pos, id FROM ({of[a]})" for a in algorithms]
+    cities = _farthest("SELECT id, degree FROM reps", _RING, "(SELECT count(*) FROM fp)").replace("fp AS (", "cp AS (", 1).replace("fm AS (", "cm AS (", 1).replace("fr AS (", "cr AS (", 1).replace("fo AS (", "co AS (", 1)
+    cities = cities.replace("FROM fp)", "FROM cp)").replace("FROM fp ", "FROM cp ").replace(", fp c ", ", cp c ").replace("JOIN fm ", "JOIN cm ").replace("FROM fr)", "FROM cr)")
+    key = "algo, k, repeat"
+    full = f"'{ALGORITHMS['full_random']}'"
+    return ",\n".join([
+        _paths("SELECT id FROM ev"), _farthest("SELECT id, degree FROM deg", _ALL, str(max(ks))), _CREPS, cities,
+        "sam AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")",
+        f"ins AS (SELECT {key}, id, min(pos) AS pos FROM sam WHERE id IN (SELECT id FROM ev) GROUP BY ALL)",
+        f"rc AS (SELECT {key}, ev.community, count(*) AS n FROM ins JOIN ev USING (id) WHERE ev.community <> -1 GROUP BY ALL)",
+        f"rb AS (SELECT {key}, count(*) AS got, stddev_pop(n) / avg(n) AS balance_cv, CASE WHEN count(*) = 1 THEN 1 ELSE (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)) END AS balance_entropy FROM rc GROUP BY ALL)",
+        f"rd AS (SELECT {key}, pth.id, min(d) AS d FROM ins JOIN pth ON pth.s = ins.id GROUP BY ALL)",
+        f"rn AS (SELECT {key}, id, coalesce(d, 10 * max(d) OVER (PARTITION BY {key})) AS f FROM (SELECT DISTINCT {key} FROM ins) CROSS JOIN (SELECT id FROM ev) LEFT JOIN rd USING ({key}, id))",
+        f"rg AS (SELECT {key}, max(f) AS global_R_max, avg(f) AS global_mean, quantile_cont(f, 0.5) AS global_median, quantile_cont(f, 0.9) AS global_p90 FROM rn GROUP BY ALL)",
+        f"rp AS (SELECT {key}, coalesce(d, 10 * coalesce(max(d) OVER (PARTITION BY {key}), 1)) AS f FROM (SELECT p.algo, p.k, p.repeat, p.id AS a, q.id AS b FROM ins p JOIN ins q ON p.algo = q.algo AND p.k = q.k AND p.repeat = q.repeat AND p.pos < q.pos) LEFT JOIN pth ON pth.s = a AND pth.id = b)",
+        f"rv AS (SELECT {key}, min(f) AS div_min_sep, avg(f) AS div_mean, quantile_cont(f, 0.5) AS div_median, quantile_cont(f, 0.1) AS div_p10, quantile_cont(f, 0.9) AS div_p90 FROM rp GROUP BY ALL)",
+        f"re AS (SELECT {key}, count(*) AS k_eff FROM ins GROUP BY ALL)",
+        f"runs AS (SELECT {key}, repeat + {first} AS seed, k_eff, CASE WHEN algo = {full} THEN k_eff / k::DOUBLE ELSE 1 END AS efficiency, got / (SELECT count(DISTINCT community) FROM ev)::DOUBLE AS cov, rb.* EXCLUDE ({key}, got), rg.* EXCLUDE ({key}), rv.* EXCLUDE ({key}) FROM re JOIN rb USING ({key}) JOIN rg USING ({key}) JOIN rv USING ({key}))",
+        "agg AS (SELECT algo, k, " + ", ".join(f"avg({m}) AS {m}_mean, coalesce(stddev_pop({m}), 0) AS {m}_std" for m in MEASURES) + " FROM runs GROUP BY algo, k)",
+    ])
+
+
+#: kn (id, d): distances to the tenth nearest, each vertex its own first; kk: their knee.
+_KTH = f"kn AS (SELECT a AS id, max(d) AS d FROM (SELECT a.id AS a, b.id AS b, {_FAR} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_FAR}, b.id) AS r FROM ev a JOIN ev b ON a.id <> b.id) WHERE r <= 9 GROUP BY 1)"
+_KNEE = "kk AS (SELECT arg_max(d, (round(abs(n * (d - y0) - i * (y1 - y0)), 9), -i)) AS knee FROM (SELECT d, (row_number() OVER (ORDER BY d, id) - 1)::DOUBLE AS i, count(*) OVER () - 1 AS n, min(d) OVER () AS y0, max(d) OVER () AS y1 FROM kn))"
+_ROADS = """rn AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(length) AS length FROM ee WHERE eid % 3 = 0 GROUP BY 1, 2),
+rd AS (SELECT (a * 1000000 + b) * 2 AS eid, a AS src, b AS dst, length FROM rn UNION ALL SELECT (a * 1000000 + b) * 2 + 1, b, a, length FROM rn WHERE a % 5 <> 0),
+en AS (SELECT src AS id, dst AS other, 1 AS o FROM rd UNION ALL SELECT dst, src, 0 FROM rd),
+inn AS (SELECT id FROM en GROUP BY id HAVING count(DISTINCT other) = 2 AND max((other = id)::INT) = 0 AND ((count(*) = 2 AND sum(o) = 1) OR (count(*) = 4 AND count(DISTINCT (other, o)) = 4))),
+nxt AS (SELECT u.eid AS a, v.eid AS b FROM rd u JOIN rd v ON u.dst = v.src AND u.src <> v.dst WHERE u.dst IN (FROM inn)),
+lnk AS (SELECT a, b FROM nxt UNION ALL SELECT b, a FROM nxt),
+chn AS (WITH RECURSIVE r(eid, chain) USING KEY (eid) AS (SELECT eid, eid FROM rd UNION SELECT l.b, min(r.chain) FROM r JOIN lnk l ON l.a = r.eid JOIN recurring.r o ON o.eid = l.b WHERE r.chain < o.chain GROUP BY l.b) SELECT * FROM r),
+who AS (SELECT chain, min(CASE WHEN src NOT IN (FROM inn) THEN src END) AS src, min(CASE WHEN dst NOT IN (FROM inn) THEN dst END) AS dst, sum(length) AS length, count(*) AS parts FROM rd JOIN chn USING (eid) GROUP BY chain)"""
+
+
 ORACLES: dict[str, str] = {
     "edge_speeds": evt("SELECT eid, round(coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER ()), 6) AS speed_kph FROM ts"),
     "edge_travel_times": evt("SELECT eid, round(length / 1000 / nullif(coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER ()), 0) * 3600, 6) AS travel_time FROM ts"),
@@ -131,7 +176,7 @@ ORACLES: dict[str, str] = {
     "highway_filter": evt("SELECT eid, src, dst, highway FROM ts WHERE highway IN ('primary', 'motorway')"),
     "undirected_collapse": emb("SELECT a, b, round(length, 6) AS length FROM und"),
     "induced_subgraph": emb("SELECT eid, src, dst, round(length, 6) AS length FROM ee WHERE src IN (SELECT id FROM ev WHERE community < 3) AND dst IN (SELECT id FROM ev WHERE community < 3)"),
-    "map_and_dedup": emb("SELECT row_number() OVER (ORDER BY f) - 1 AS pos, id FROM (SELECT b.id, min(a.id) AS f FROM ev a JOIN ev b ON b.id = a.id * 7 % 50 WHERE b.id >= 10 GROUP BY b.id)"),
+    "map_and_dedup": emb("SELECT row_number() OVER (ORDER BY f) - 1 AS pos, id FROM (SELECT id, min(pos) AS f FROM sample JOIN ev USING (id) WHERE community IN (" + _TOP.format("ev") + ") GROUP BY id)", _rr(_POOL, 3000, 7, _drawn(7))),
     "parse_speeds": evt("SELECT eid, kph FROM ts"),
     "tag_features": evt("SELECT id, degree, " + _r("freq_residential", "freq_primary", "freq_motorway", "freq_service", "freq_other", "avg_maxspeed") + " FROM tagf"),
     "avg_edge_len": evt("SELECT id, " + _r("avg_edge_len") + " FROM outl"),
@@ -143,8 +188,8 @@ ORACLES: dict[str, str] = {
     "winsorize": emb("SELECT id, round(least(x, (SELECT quantile_cont(x, 0.9) FROM ev)), 6) AS x FROM ev"),
     "urbanity_score": evt("SELECT id, round(" + " + ".join(f"{c} * {w}::DOUBLE" for c, w in _W.items()) + ", 6) + 0.0 AS urbanity_score FROM z"),
     "det_sample": emb("SELECT id FROM ev ORDER BY md5('7:' || id), id LIMIT 50"),
-    "knee_point": emb("SELECT round(arg_max(d, (round(abs(n * (d - y0) - i * (y1 - y0)), 9), -i)), 6) AS knee FROM (SELECT d, (row_number() OVER (ORDER BY d, id) - 1)::DOUBLE AS i, count(*) OVER () - 1 AS n, min(d) OVER () AS y0, max(d) OVER () AS y1 FROM (SELECT src AS id, max(length) AS d FROM ee GROUP BY 1))"),
-    "kth_nn_distance": emb("SELECT src AS id, round(max(length), 6) AS d FROM ee GROUP BY 1"),
+    "knee_point": emb("SELECT round(knee, 6) AS knee FROM kk", _KTH, _KNEE),
+    "kth_nn_distance": emb("SELECT id, round(d, 6) AS d FROM kn", _KTH),
     "rural_prune": emb("SELECT id, community::BIGINT AS label FROM ev WHERE community <> (SELECT community FROM ev WHERE community <> -1 GROUP BY 1 ORDER BY avg(x), 1 LIMIT 1)"),
     "edge_strengths": emb("SELECT eid, round(1 / (length + 1e-6), 6) AS strength FROM ee"),
     "modularity": emb("SELECT round(sum(wc / m - (kc / (2 * m)) * (kc / (2 * m))), 6) AS q FROM (SELECT c, sum(w) AS kc, sum(own) AS wc FROM (SELECT va.community AS c, w, CASE WHEN va.community = vb.community THEN w / 2 ELSE 0 END AS own FROM sw JOIN ev va ON va.id = src JOIN ev vb ON vb.id = dst) GROUP BY c), (SELECT sum(w) / 2 AS m FROM sw)", "sw AS (SELECT src, dst, 1 / (length + 1e-6::DOUBLE) AS w FROM sym)"),
@@ -159,35 +204,45 @@ ORACLES: dict[str, str] = {
     "mst_edges": emb("SELECT count(*) AS n, round(sum(weight), 6) AS weight FROM mst", _forest("SELECT a, b, length AS weight FROM und WHERE a <> b")),
     # Up to ten components, whose representatives are all near each other's.
     "connect_components": emb("SELECT a AS src, b AS dst, round(weight, 6) AS length, 'virtual' AS type FROM mst", _COMP, _PLACED, _forest(f"SELECT a.id AS a, b.id AS b, {_FAR} * 1.5::DOUBLE AS weight FROM reps a JOIN reps b ON a.id < b.id")),
-    "bridge_forest": emb("SELECT a, b, round(sqrt((x - px) * (x - px) + (y - py) * (y - py)) * 2.0::DOUBLE, 6) AS weight FROM (SELECT lag(id) OVER (ORDER BY id) AS a, id AS b, x, y, lag(x) OVER (ORDER BY id) AS px, lag(y) OVER (ORDER BY id) AS py FROM reps) WHERE a IS NOT NULL", _REPS),
+    "bridge_forest": emb("SELECT a, b, round(sqrt((x - px) * (x - px) + (y - py) * (y - py)) * 1.5::DOUBLE * 2.0::DOUBLE, 6) AS weight FROM (SELECT lag(id) OVER (ORDER BY id) AS a, id AS b, x, y, lag(x) OVER (ORDER BY id) AS px, lag(y) OVER (ORDER BY id) AS py FROM reps) WHERE a IS NOT NULL", _REPS),
     "sssp": emb("SELECT id, round(d, 6) AS d FROM pth", _paths("SELECT id FROM ev WHERE id = 0")),
-    "pairwise_distances": emb("SELECT s AS source, id, round(d, 6) AS d FROM pth", _paths("SELECT id FROM ev WHERE id < 5")),
+    "pairwise_distances": emb("SELECT s AS source, id, round(d, 6) AS d FROM pth", _CREPS, _paths("SELECT id FROM reps")),
     "replace_infinite": emb("SELECT ev.id, round(coalesce(d, 10 * (SELECT max(d) FROM pth)), 6) AS d FROM ev LEFT JOIN pth ON pth.id = ev.id", _paths("SELECT id FROM ev WHERE id = 0")),
     "euclid_matrix": emb(f"SELECT a.id AS a, b.id AS b, round({_FAR}, 6) AS d FROM reps a JOIN reps b ON a.id <> b.id", _REPS),
     "community_reps": emb("SELECT community::BIGINT AS community, id, degree FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS n FROM ev JOIN deg USING (id) WHERE community <> -1) WHERE n = 1"),
     "round_robin": emb("SELECT pos, id FROM sample", _rr(_POOL, 25, 7, _drawn(7))),
-    "round_robin_reset": emb("SELECT pos, id FROM sample", _rr(_POOL + " AND id < 20", 50, 7, _drawn(7))),
+    "round_robin_reset": emb("SELECT pos, id FROM sample", _rr(_POOL, 3000, 7, _drawn(7))),
     "random_full": emb("SELECT row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS pos, id FROM ev QUALIFY pos < 25"),
-    "random_pruned": emb("SELECT row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS pos, id FROM ev WHERE x > 0 QUALIFY pos < 25"),
+    "random_pruned": emb("SELECT row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS pos, id FROM ev WHERE community IN (" + _TOP.format("ev") + ") QUALIFY pos < 25"),
     "nearest_center": emb("SELECT id, round(d, 6) AS d, owner FROM nc", _NEAR),
     "global_coverage": emb("SELECT round(max(f), 6) AS global_R_max, round(avg(f), 6) AS global_mean, round(quantile_cont(f, 0.5), 6) AS global_median, round(quantile_cont(f, 0.9), 6) AS global_p90 FROM (SELECT coalesce(d, 10 * max(d) OVER ()) AS f FROM nc)", _NEAR),
     "diversity": emb("SELECT round(min(f), 6) AS div_min_sep, round(avg(f), 6) AS div_mean, round(quantile_cont(f, 0.5), 6) AS div_median, round(quantile_cont(f, 0.1), 6) AS div_p10, round(quantile_cont(f, 0.9), 6) AS div_p90 FROM (SELECT coalesce(d, 10 * max(d) OVER ()) AS f FROM s p JOIN s q ON p.pos < q.pos LEFT JOIN pth ON pth.s = p.id AND pth.id = q.id)", _NEAR),
     "community_coverage": emb("SELECT (SELECT count(DISTINCT community) FROM ev WHERE community <> -1) AS n_comm_full, count(*) AS n_comm_repr, round(count(*) / (SELECT count(DISTINCT community) FROM ev WHERE community <> -1)::DOUBLE, 6) AS cov FROM cnt", _SAMPLE, _COUNTS),
     "balance": emb(f"SELECT {_BAL} FROM cnt", _SAMPLE, _COUNTS),
     "ari_nmi": emb("SELECT round((t2 - a2 * b2 / (n * (n - 1) / 2)) / ((a2 + b2) / 2 - a2 * b2 / (n * (n - 1) / 2)), 6) AS ari, round((tl / n - al / n - bl / n + ln(n)) / ((ln(n) - al / n + ln(n) - bl / n) / 2), 6) AS nmi FROM (SELECT sum(c * (c - 1) / 2) AS t2, sum(c * ln(c)) AS tl, sum(c) AS n FROM tab), (SELECT sum(c * (c - 1) / 2) AS a2, sum(c * ln(c)) AS al FROM (SELECT sum(c)::DOUBLE AS c FROM tab GROUP BY community)), (SELECT sum(c * (c - 1) / 2) AS b2, sum(c * ln(c)) AS bl FROM (SELECT sum(c)::DOUBLE AS c FROM tab GROUP BY owner))", _NEAR, "tab AS (SELECT community, owner, count(*)::DOUBLE AS c FROM nc JOIN ev USING (id) WHERE owner <> -1 GROUP BY 1, 2)"),
-    "efficiency": emb("SELECT count(DISTINCT id) AS k_eff, round(count(DISTINCT id) / 50::DOUBLE, 6) AS efficiency FROM sample", _rr(_POOL + " AND id < 20", 50, 7, _drawn(7))),
-    "compare_grid": emb("SELECT algo, k, repeat, " + _r("cov", "balance_cv", "balance_entropy") + " FROM runs", _runs()),
-    "compare_agg": emb("SELECT algo, k, " + _r(*(f"{m}_{x}" for m in ("cov", "balance_cv", "balance_entropy") for x in ("mean", "std"))) + " FROM agg", _runs(), _AGG),
-    "plot_series": emb("SELECT algo, k, 'cov' AS metric, round(cov_mean, 6) AS mean, round(cov_std, 6) AS std FROM agg UNION ALL SELECT algo, k, 'balance_cv', round(balance_cv_mean, 6), round(balance_cv_std, 6) FROM agg", _runs(), _AGG),
-    "fft_nodes": emb("SELECT step::BIGINT AS pos, id FROM fo", _paths("SELECT id FROM ev"), _farthest("SELECT id, degree FROM deg", _ALL, "4")),
+    "efficiency": emb("SELECT count(*) AS k_eff, round(count(*) / 100::DOUBLE, 6) AS efficiency FROM (SELECT id, community FROM ev QUALIFY row_number() OVER (ORDER BY md5('7:' || id), id) <= 100) WHERE community IN (" + _TOP.format("ev") + ")"),
+    "compare_grid": pruned("SELECT algo, k, repeat, seed, k_eff, " + _r(*MEASURES) + " FROM runs", _samples()),
+    "compare_agg": pruned("SELECT algo, k, " + _r(*(f"{m}_{x}" for m in MEASURES for x in ("mean", "std"))) + " FROM agg", _samples()),
+    "plot_series": pruned(" UNION ALL ".join(f"SELECT algo, k, '{m}' AS metric, round({m}_mean, 6) + 0.0 AS mean, round({m}_std, 6) + 0.0 AS std FROM agg" for m in DRAWN), _samples()),
+    "fft_nodes": emb("SELECT step::BIGINT AS pos, id FROM fo", _paths("SELECT id FROM ev"), _farthest("SELECT id, degree FROM deg", _ALL, "20")),
     "fft_order_matrix": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _farthest("SELECT id, degree FROM reps", _RING, "(SELECT count(*) FROM fp)")),
     "fft_city_order": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _paths("SELECT id FROM reps"), _farthest("SELECT id, degree FROM reps", _ALL, "(SELECT count(*) FROM fp)")),
-    "fft_city_stream": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _paths("SELECT id FROM reps"), _farthest("SELECT id, degree FROM reps", _ALL, "3")),
+    "fft_city_stream": emb("SELECT step::BIGINT AS city_pos, community::BIGINT AS community FROM fo JOIN reps USING (id)", _CREPS, _paths("SELECT id FROM reps"), _farthest("SELECT id, degree FROM reps", _ALL, "25")),
     "hybrid": emb("SELECT pos, id FROM sample", _CREPS, _farthest("SELECT id, degree FROM reps", _RING, "(SELECT count(*) FROM fp)"), _rr("SELECT ev.id, community, step AS city_pos FROM ev JOIN (SELECT step, community FROM fo JOIN reps USING (id)) USING (community)", 25, 7, "city_pos")),
     "betweenness": emb("SELECT ev.id, coalesce(n, 0)::DOUBLE AS betweenness FROM ev LEFT JOIN (SELECT a.id, count(*) AS n FROM pth a JOIN pth b ON b.s = a.id JOIN pth c ON c.s = a.s AND c.id = b.id WHERE a.s < b.id AND a.id <> a.s AND a.id <> b.id AND abs(a.d + b.d - c.d) <= 1e-9 * c.d GROUP BY a.id) p ON p.id = ev.id", _paths("SELECT id FROM ev")),
-    "dbscan": emb("SELECT ev.id, coalesce(lab.label, b.label, -1) AS label FROM ev LEFT JOIN lab ON lab.id = ev.id LEFT JOIN (SELECT near.a AS id, min(label) AS label FROM near JOIN lab ON lab.id = near.b GROUP BY 1) b ON b.id = ev.id", _CORES),
-    "objective_separation": evt("SELECT trial, " + _r("objective", *(f"d_{c}" for c in _F)) + " FROM tj", _trials(20)),
-    "tune_weights": evt("SELECT trial, round(objective, 6) AS objective, " + ", ".join(f"round(w_{c}, 6) AS {c}" for c in _F) + " FROM tj ORDER BY round(objective, 9) DESC, trial LIMIT 1", _trials(100)),
+    "dbscan": emb("SELECT ev.id, coalesce(lab.label, b.label, -1) AS label FROM ev LEFT JOIN lab ON lab.id = ev.id LEFT JOIN (SELECT near.a AS id, min(label) AS label FROM near JOIN lab ON lab.id = near.b GROUP BY 1) b ON b.id = ev.id", _KTH, _KNEE, _CORES),
+    "objective_separation": evt("SELECT trial, " + _r("objective", *(f"d_{c}" for c in _F)) + " FROM tj", _trials(800)),
+    "tune_weights": evt("SELECT trial, round(objective, 6) AS objective, " + ", ".join(f"round(w_{c}, 6) AS {c}" for c in _F) + " FROM tj ORDER BY round(objective, 9) DESC, trial LIMIT 1", _trials(800)),
+    "round_robin_same_draws": emb("SELECT pos, id FROM sample", _rr(_POOL, 3000, 7, "md5('7:0:c:' || community), community").replace("'7:' || cycle || ':' || id", "'7:0:' || id")),
+    "round_robin_with_noise": emb("SELECT pos, id FROM sample", _rr(f"SELECT id, CASE WHEN community IN ({_TOP.format('ev')}) THEN community ELSE -1 END AS community FROM ev", 25, 7, _drawn(7))),
+    "compare_two": pruned("SELECT algo, k, repeat, seed, k_eff, " + _r(*MEASURES) + " FROM runs", _samples(("round_robin", "fft"))),
+    "knee_point_variant": emb("SELECT CASE WHEN (SELECT min(d) = max(d) FROM kn) THEN 0.5::DOUBLE ELSE round(knee, 6) END AS knee FROM kk", _KTH, _KNEE),
+    "simplify_chains": emb("SELECT chain AS eid, src, dst, round(length, 6) AS length, parts FROM who WHERE src IS NOT NULL UNION ALL SELECT eid, rd.src, rd.dst, round(rd.length, 6), 1 FROM rd JOIN chn USING (eid) JOIN who USING (chain) WHERE who.src IS NULL", _ROADS),
+    "parse_speeds_legacy": evt("SELECT eid, CASE WHEN lower(maxspeed) NOT IN ('none', 'signals', 'variable', 'implicit') THEN TRY_CAST(nullif(regexp_extract(lower(maxspeed), '(\\d+(\\.\\d+)?)', 1), '') AS DOUBLE) END AS kph FROM te"),
+    "avg_edge_len_all": evt("SELECT id, round(coalesce(avg(length), 0), 6) + 0.0 AS avg_edge_len FROM tv LEFT JOIN inc USING (id) GROUP BY id"),
+    "kept_share": emb("SELECT count(*) FILTER (kept) AS n_kept, round(100 * avg(kept::INT), 6) AS pct_kept FROM (SELECT community IN (" + _TOP.format("ev") + ") AS kept FROM ev)"),
+    "highlight_with_noise": emb(f"SELECT id, coalesce(color, -1) AS color FROM v LEFT JOIN (SELECT community, row_number() OVER (ORDER BY count(*) DESC, community) - 1 AS color FROM v GROUP BY 1 QUALIFY color < 3) USING (community)", f"v AS (SELECT id, CASE WHEN community IN ({_TOP.format('ev')}) THEN community ELSE -1 END AS community FROM ev)"),
+    "coverage_with_noise": emb("SELECT (SELECT count(DISTINCT community) FROM v) AS n_comm_full, count(DISTINCT community) AS n_comm_repr, round(count(DISTINCT community) / (SELECT count(DISTINCT community) FROM v)::DOUBLE, 6) AS cov FROM v JOIN s USING (id)", _SAMPLE, f"v AS (SELECT id, CASE WHEN community IN ({_TOP.format('ev')}) THEN community ELSE -1 END AS community FROM ev)"),
     "evaluate_empty": emb("SELECT count(DISTINCT community) AS n_comm_full, 0::BIGINT AS n_comm_repr, 0::DOUBLE AS cov, 'nan'::DOUBLE AS balance_cv, 'nan'::DOUBLE AS balance_entropy, 'inf'::DOUBLE AS global_R_max, 'inf'::DOUBLE AS global_mean, 'inf'::DOUBLE AS global_median, 'inf'::DOUBLE AS global_p90, 0::DOUBLE AS div_min_sep, 0::DOUBLE AS div_mean, 0::DOUBLE AS div_median, 0::DOUBLE AS div_p10, 0::DOUBLE AS div_p90, NULL::DOUBLE AS ari, NULL::DOUBLE AS nmi FROM ev WHERE community <> -1"),
 }
 

@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geosieve import sources
-from geosieve.functions import draw, edge_strength, euclid, flatten_tag, parse_maxspeed
+from geosieve.functions import LEGACY_NO_SPEED, edge_strength, euclid, flatten_tag, parse_maxspeed, strength_of
 from geosieve.graph import Graph, incident, induced, undirected_min
 from geosieve.operators import communities as co
 from geosieve.operators import connectivity as cn
 from geosieve.operators import construct as ct
 from geosieve.operators import density as de
 from geosieve.operators import distances as di
+from geosieve.operators import experiment as ex
 from geosieve.operators import features as fe
 from geosieve.operators import leiden as le
 from geosieve.operators import metrics as me
@@ -23,7 +24,8 @@ from geosieve.operators import scoring as sc
 from geosieve.plans.oracles import ORACLES  # noqa: F401
 from geosieve.plans.storage import stored
 
-K, SEED, EPS = 25, 7, 0.05
+K, SEED, RESET, TRIALS = 25, 7, 3000, 800
+KS, REPEATS = (10, 20), 2
 WEIGHTS = {"log_degree": 0.6, "clustering": 0.3, "freq_residential": 0.4, "avg_edge_len": -0.3, "freq_motorway": -0.4, "avg_maxspeed": -0.2}
 QUERIES: dict = {}
 
@@ -63,6 +65,11 @@ def stored_evt(spark: SparkSession, sf_dir: str) -> Graph:
 emb2, evt2 = on(stored_emb), on(stored_evt)
 
 
+def _top(g: Graph) -> DataFrame:
+    """The vertices of the four largest communities: the pruned graph of some queries."""
+    return co.top_communities(g.vertices, 4).where("community <> -1")
+
+
 def degrees(g: Graph) -> DataFrame:
     return g.vertices.select("id").join(incident(g.edges).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").fillna(0)
 
@@ -116,13 +123,23 @@ def induced_subgraph(g):
 
 @emb
 def map_and_dedup(g):
-    sample = g.vertices.select(F.col("id").alias("pos"), ((F.col("id") * 7) % 50).alias("osmid"))
-    return ct.map_and_dedup(sample, g.vertices.where("id >= 10").select("osmid", "id"))
+    """A long sample of the full graph, with repeats, mapped to the pruned one."""
+    sample = sa.round_robin(g.vertices, RESET, SEED).select("pos", F.col("id").alias("osmid"))
+    return ct.map_and_dedup(sample, _top(g).select("osmid", "id"))
+
+
+def _roads(g: Graph) -> Graph:
+    """Two-way roads to each vertex's nearest neighbour; every fifth start's are one-way."""
+    near = undirected_min(g.edges.where("eid % 3 = 0"))
+    ways = near.withColumn("way", F.explode(F.when(F.col("a") % 5 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    first = F.col("way") == 0
+    rows = ways.select(((F.col("a") * 1_000_000 + F.col("b")) * 2 + F.col("way")).alias("eid"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst"), "length")
+    return Graph(g.vertices, rows)
 
 
 @emb2
 def simplify_chains(g):
-    return ct.simplify_chains(g)
+    return ct.simplify_chains(_roads(g))
 
 
 # --- features
@@ -133,6 +150,16 @@ def parse_speeds(g):
     return g.edges.select("eid", parse_maxspeed(F.col("maxspeed")).alias("kph"))
 
 
+@evt
+def parse_speeds_legacy(g):
+    return g.edges.select("eid", parse_maxspeed(F.col("maxspeed"), LEGACY_NO_SPEED, strip=False).alias("kph"))
+
+
+@evt
+def avg_edge_len_all(g):
+    return fe.average_edge_length(g, "all")
+
+
 @evt
 def tag_features(g):
     return fe.tag_features(g).drop("avg_edge_len_all")
@@ -197,14 +224,19 @@ def det_sample(g):
     return sc.sample_rows(g.vertices.select("id"), 50, SEED)
 
 
-@emb
+@emb2
 def knee_point(g):
-    return sc.knee_point(g.edges.groupBy(F.col("src").alias("id")).agg(F.max("length").alias("d")))
+    return sc.knee_point(cn.kth_distance(g.vertices))
 
 
-@emb
+@emb2
+def knee_point_variant(g):
+    return sc.knee_point(cn.kth_distance(g.vertices), flat=0.5)
+
+
+@emb2
 def kth_nn_distance(g):
-    return g.edges.groupBy(F.col("src").alias("id")).agg(F.max("length").alias("d"))
+    return cn.kth_distance(g.vertices)
 
 
 @emb
@@ -215,12 +247,12 @@ def rural_prune(g):
 @evt2
 def objective_separation(g):
     z = stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z")
-    return sc.separation(z, stored(sc.drawn_weights(z.sparkSession, 20, SEED), "weights"))
+    return sc.separation(z, stored(sc.drawn_weights(z.sparkSession, TRIALS, SEED), "weights"))
 
 
 @evt2
 def tune_weights(g):
-    return sc.tuned_weights(stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z"), 100, seed=SEED)
+    return sc.tuned_weights(stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z"), TRIALS, seed=SEED)
 
 
 @evt2
@@ -229,9 +261,11 @@ def pca_score(g):
     return de.principal_score(z, sc.FEATURES, "log_degree")
 
 
-@emb
+@emb2
 def dbscan(g):
-    return de.density_clusters(g.vertices.select("id", "x", "y"), EPS, 10)
+    """Cells at the knee of the tenth neighbours' distances."""
+    eps = sc.knee_point(cn.kth_distance(g.vertices)).first()["knee"]
+    return de.density_clusters(g.vertices.select("id", "x", "y"), eps, 10)
 
 
 # --- communities
@@ -246,6 +280,11 @@ def leiden(g):
     return le.leiden(g.vertices, _strengths(g), (0.5,), "modularity").select("id", "community")
 
 
+@emb2
+def leiden_cpm(g):
+    return le.leiden(g.vertices, _strengths(g), (0.05,), "CPM").select("id", "community")
+
+
 @emb2
 def leiden_sweep(g):
     return le.sweep(le.leiden(g.vertices, _strengths(g), le.GAMMAS["modularity"], "modularity"))
@@ -253,7 +292,7 @@ def leiden_sweep(g):
 
 @emb
 def edge_strengths(g):
-    return g.edges.select("eid", edge_strength(F.col("length")).alias("strength"))
+    return g.edges.select("eid", strength_of(g.edges.columns).alias("strength"))
 
 
 @emb2
@@ -281,11 +320,21 @@ def smallest_communities(g):
     return co.smallest(g.vertices, 5)
 
 
+@emb
+def kept_share(g):
+    return co.kept_share(co.top_communities(g.vertices, 4))
+
+
 @emb
 def highlight_topk(g):
     return co.highlight(g.vertices, 3)
 
 
+@emb
+def highlight_with_noise(g):
+    return co.highlight(co.top_communities(g.vertices, 4), 3, keep_noise=True)
+
+
 # --- connectivity
 
 
@@ -299,7 +348,7 @@ def component_reps(g):
     return cn.representatives(g.vertices.join(cn.components(g.vertices, g.edges), "id")).select("component", "id")
 
 
-@emb
+@emb2
 def knn_reps(g):
     return cn.nearest_representatives(cn.representatives(g.vertices, "community"), 4)
 
@@ -309,7 +358,7 @@ def mst_edges(g):
     return cn.spanning_forest(undirected_min(g.edges).select("a", "b", F.col("length").alias("weight"))).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 
 
-@emb
+@emb2
 def bridge_forest(g):
     return cn.bridge_chain(cn.representatives(g.vertices, "community"))
 
@@ -329,7 +378,7 @@ def sssp(g):
 
 @emb2
 def pairwise_distances(g):
-    return di.shortest_paths(g, g.vertices.where("id < 5").select("id"))
+    return di.shortest_paths(g, sa.community_representatives(g.vertices, degrees(g)))
 
 
 @emb2
@@ -362,7 +411,18 @@ def round_robin(g):
 
 @emb
 def round_robin_reset(g):
-    return sa.round_robin(g.vertices.where("id < 20"), 50, SEED)
+    """More than all vertices of the test tables."""
+    return sa.round_robin(g.vertices, RESET, SEED)
+
+
+@emb
+def round_robin_same_draws(g):
+    return sa.round_robin(g.vertices, RESET, SEED, reshuffle_on_reset=False)
+
+
+@emb
+def round_robin_with_noise(g):
+    return sa.round_robin(co.top_communities(g.vertices, 4), K, SEED, keep_noise=True)
 
 
 @emb
@@ -372,12 +432,12 @@ def random_full(g):
 
 @emb
 def random_pruned(g):
-    return sa.uniform(g.vertices.where("x > 0"), K, SEED)
+    return sa.uniform(_top(g), K, SEED)
 
 
 @emb2
 def fft_nodes(g):
-    return sa.farthest_first(g, 4, degrees(g))
+    return sa.farthest_first(g, 20, degrees(g))
 
 
 def _order(g: Graph) -> DataFrame:
@@ -405,7 +465,7 @@ def fft_city_order(g):
 
 @emb2
 def fft_city_stream(g):
-    return sa.city_order_streaming(g, degrees(g), 3)
+    return sa.city_order_streaming(g, degrees(g), K)
 
 
 @emb2
@@ -417,7 +477,7 @@ def hybrid(g):
 
 
 def _sample(g: Graph) -> DataFrame:
-    return g.vertices.where("id % 50 = 0").select((F.col("id") / 50).cast("long").alias("pos"), "id")
+    return stored(sa.round_robin(g.vertices, K, SEED), "sample")
 
 
 @emb2
@@ -435,6 +495,11 @@ def community_coverage(g):
     return me.coverage(g.vertices, _sample(g))
 
 
+@emb
+def coverage_with_noise(g):
+    return me.coverage(co.top_communities(g.vertices, 4), _sample(g), keep_noise=True)
+
+
 @emb
 def balance(g):
     return me.balance(g.vertices, _sample(g))
@@ -463,20 +528,13 @@ def ari_nmi(g):
 
 @emb
 def efficiency(g):
-    return me.efficiency(sa.round_robin(g.vertices.where("id < 20"), 50, SEED), 50)
+    sample = sa.uniform(g.vertices, 100, SEED)
+    return me.efficiency(sample.join(_top(g).select("id"), "id"), 100)
 
 
-def _runs(g: Graph) -> DataFrame:
-    """Coverage and balance of each algorithm, k and repeat: one sample at the largest k, whose prefixes are the others."""
-    ks, rows = (10, 20), None
-    for repeat in range(2):
-        for algo, s in (("round_robin", sa.round_robin(g.vertices, max(ks), SEED + repeat)), ("random", sa.uniform(g.vertices, max(ks), SEED + repeat))):
-            s = stored(s, "sample")
-            for k in ks:
-                p = s.where(F.col("pos") < k)
-                one = me.coverage(g.vertices, p).crossJoin(me.balance(g.vertices, p)).select(F.lit(algo).alias("algo"), F.lit(k).alias("k"), F.lit(repeat).alias("repeat"), "cov", "balance_cv", "balance_entropy")
-                rows = one if rows is None else rows.unionByName(one)
-    return rows
+def _runs(g: Graph, algorithms: tuple[str, ...] = tuple(ex.ALGORITHMS)) -> DataFrame:
+    pruned = Graph(*(stored(x, "pruned") for x in (induced(g, _top(g)).vertices, induced(g, _top(g)).edges)))
+    return ex.compare(g.vertices, pruned, stored(degrees(pruned), "degrees"), _order(pruned), KS, REPEATS, SEED, algorithms)
 
 
 @emb2
@@ -484,11 +542,16 @@ def compare_grid(g):
     return _runs(g)
 
 
+@emb2
+def compare_two(g):
+    return _runs(g, ("round_robin", "fft"))
+
+
 @emb2
 def compare_agg(g):
-    return me.aggregate_runs(_runs(g), ["cov", "balance_cv", "balance_entropy"])
+    return me.aggregate_runs(_runs(g), list(me.MEASURES))
 
 
 @emb2
 def plot_series(g):
-    return sources.plot_series(me.aggregate_runs(_runs(g), ["cov", "balance_cv", "balance_entropy"]), ["cov", "balance_cv"])
+    return sources.plot_series(me.aggregate_runs(_runs(g), list(me.MEASURES)), list(me.DRAWN))

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str = "round") -> DataFrame:
-    """`df`, written to spark.checkpoint.dir (a folder of our own where that is unset) and read back."""
+    """`df`, written to spark.checkpoint.dir and read back; in local mode a folder of our own where that is unset."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="geosieve-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)

@@ -30,10 +30,14 @@ def write_weights(weights: DataFrame, path: str) -> None:
     weights.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_results(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """Experiment rows as one CSV file with header, or as JSON lines."""
-    out = rows.coalesce(1).write.mode("overwrite")
-    out.option("header", True).csv(path) if kind == "csv" else out.json(path)
+def write_results(rows: DataFrame, path: str, kind: str = "csv", meta: dict | None = None) -> None:
+    """Experiment rows as one CSV file with header, or as one JSON document {"meta", "rows"}."""
+    if kind == "csv":
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        return
+    # Rows of an experiment: one for each algorithm, size and repeat.
+    whole = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"ignoreNullFields": "false"}).alias("rows"))
+    whole.select(F.concat(F.lit(f'{{"meta": {json.dumps(meta or {})}, "rows": '), "rows", F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def seeds_folder(seeds: list[int]) -> str:

@@ -1,12 +1,16 @@
 """Hand-worked cases on small graphs."""
 
+import json
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from geosieve.functions import parse_maxspeed
 from geosieve.graph import Graph, induced
 from geosieve.operators import communities, connectivity, distances, features, metrics, samplers
-from geosieve.sources import read_graph, seeds_folder, write_graph
+from geosieve.sources import read_graph, seeds_folder, write_graph, write_results
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +52,7 @@ def test_coverage_drops_noise(spark, path):
     s = spark.createDataFrame([(0, 0), (1, 3)], "pos long, id long")
     assert metrics.coverage(path.vertices, s).first()["cov"] == pytest.approx(1 / 3)
     assert metrics.coverage(path.vertices, s, legacy=True).first()["cov"] == pytest.approx(2 / 3)
+    assert metrics.coverage(path.vertices, s, keep_noise=True).first()["cov"] == pytest.approx(1 / 2)
 
 
 def test_balance_and_agreement(spark):
@@ -64,6 +69,50 @@ def test_connect(spark):
     assert sorted((r["src"], r["dst"], r["length"]) for r in connectivity.connect(g).collect()) == [(0, 1, 4.5), (1, 2, 10.5)]
 
 
+def test_nearest_in_plane_equals_all_pairs(spark):
+    rng = random.Random(8)
+    points = [(i, rng.random(), rng.random() ** 4) for i in range(120)] + [(200 + i, 5.0, 5.0) for i in range(9)] + [(300, 90.0, -40.0)]
+    got = {}
+    for r in connectivity.nearest_in_plane(spark.createDataFrame(points, "id long, x double, y double"), 5).collect():
+        got.setdefault(r["a"], []).append((r["d"], r["b"]))
+    for i, x, y in points:
+        want = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in points if j != i)[:5]
+        assert sorted(got[i]) == want
+
+
+def test_connect_many_components(spark):
+    # Two groups of twelve single vertices, so far apart that the nearest neighbours leave two trees.
+    v = [(i, float(i % 12), 1000.0 * (i // 12)) for i in range(24)]
+    g = Graph(spark.createDataFrame(v, "id long, x double, y double"), spark.createDataFrame([], "eid long, src long, dst long, length double"))
+    rows = connectivity.connect(g).collect()
+    assert len(rows) == 23 and sorted(r["length"] for r in rows)[:22] == [1.5] * 22
+    assert max(r["length"] for r in rows) == pytest.approx(1000 * 1.5 * 2)
+    assert max(r["length"] for r in connectivity.connect(g, chain_above=1).collect()) == pytest.approx(3000)
+    whole = connectivity.connected(g)
+    assert connectivity.components(whole.vertices, whole.edges).select("component").distinct().count() == 1
+    assert whole.edges.where("type = 'virtual'").select("eid").distinct().count() == 23
+    far = Graph(spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 1.0)], "id long, lon double, lat double"), g.edges.drop("length"))
+    assert connectivity.connect(far).first()["length"] == pytest.approx(111_000 * 1.5)
+    assert connectivity.connect(Graph(far.vertices.select("id"), far.edges)).count() == 0
+
+
+def test_both_ways_of_searching_agree(spark):
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    e = spark.createDataFrame([(i, rng.randrange(50), rng.randrange(50), float(rng.randint(1, 9))) for i in range(70)], "eid long, src long, dst long, length double")
+    g, s = Graph(v, e), spark.createDataFrame([(0, 3), (1, 17), (2, 55)], "pos long, id long")
+    near = [sorted(map(tuple, distances.nearest_center(g, s, small=n).collect()), key=str) for n in (1000, 0)]
+    assert near[0] == near[1] and len(near[0]) == 60
+    paths = [sorted(map(tuple, distances.shortest_paths(g, s, small=n).collect())) for n in (1000, 0)]
+    assert paths[0] == paths[1]
+    degree = v.withColumn("degree", F.lit(1))
+    first = [[r["id"] for r in samplers.farthest_first(g, 4, degree, small=n).orderBy("pos").collect()] for n in (1000, 0)]
+    assert first[0] == first[1]
+    two = s.withColumn("run", F.col("pos") % 2)
+    runs = [sorted(map(tuple, distances.nearest_center(g, two, ("run",), small=n).collect()), key=str) for n in (1000, 0)]
+    assert runs[0] == runs[1] and len(runs[0]) == 120
+
+
 def test_top_communities(spark):
     v = spark.createDataFrame([(i, c) for i, c in enumerate([0] * 5 + [1] * 3 + [2] * 3 + [3])], "id long, community long")
     assert {r["community"] for r in communities.top_communities(v, 2).collect()} == {0, 1, -1}
@@ -83,3 +132,10 @@ def test_package_round_trip(spark, roads, tmp_path):
     with pytest.raises(ValueError, match="missing edge column"):
         again.validate(edge=("absent",))
     assert seeds_folder([1, 2]) == "seed_1_2" and seeds_folder(list(range(100, 130))) == "seeds_100_to_129"
+
+
+def test_results_document(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "algo string, k long, cov double")
+    write_results(rows, str(tmp_path / "r"), "json", {"seed": 7})
+    found = json.loads("".join(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()))
+    assert found["meta"] == {"seed": 7} and sorted(r["algo"] for r in found["rows"]) == ["a", "b"]
