@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geosieve.llm.common import if_small, stored, with_offsets
+from geosieve.llm.common import SMALL_ROWS, if_small, stored, with_offsets
 
 #: Coordinates are 62 bits: 20 of the dimension's value, 32 of the text's CRC-32, 10 of the row.
 VALUE_BITS, CRC_BITS, ROW_BITS = 20, 32, 10
@@ -17,6 +17,8 @@ PARTS_BITS = 10
 TOLERANCE = 2e-4
 #: Rows that a task orders at once.
 BUCKET_ROWS = 20_000
+#: Rows from which a group of equal texts counts as large.
+GROUP_ROWS = 200
 #: Of nodes equally wide along several dimensions the first here is split.
 DIMENSIONS = ("source", "language", "length", "arrival")
 
@@ -40,7 +42,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     column = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_text"), column("source").alias("source"), column("lang").alias("language"))
     rows = stored(rows, "shard-rows")
-    groups = rows.groupBy("_text").agg(F.min("source").alias("source"), F.min("language").alias("language"), F.min("doc_id").alias("arrival"))
+    groups = rows.groupBy("_text").agg(F.min("source").alias("source"), F.min("language").alias("language"), F.min("doc_id").alias("arrival"), F.count(F.lit(1)).alias("_n"))
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     top = (1 << VALUE_BITS) - 1
     for name in ("source", "language"):
@@ -53,7 +55,11 @@ def metadata(docs: DataFrame) -> DataFrame:
         "arrival": F.coalesce(F.least(F.floor(part * F.lit(float(top))), F.lit(top)), F.lit(0)),
     }
     below = F.shiftleft("text_crc32", ROW_BITS) + F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    placed = rows.drop("source", "language").join(groups.select("_text", "arrival", "_rank_source", "_rank_language"), "_text")
+    groups = stored(groups.select("_text", "arrival", "_rank_source", "_rank_language", "_n"), "shard-groups")
+    # Rows of large groups of copies meet their group where they are; the others' by a shuffle, in which no group is large.
+    large = F.broadcast(groups.where(F.col("_n") > GROUP_ROWS).orderBy(F.col("_n").desc(), "_text").limit(SMALL_ROWS))
+    rows = rows.drop("source", "language")
+    placed = rows.join(large, "_text").unionByName(rows.join(large.select("_text"), "_text", "left_anti").join(groups, "_text"))
     return placed.select("doc_id", "size", "text_crc32", *((F.shiftleft(v.cast("long"), CRC_BITS + ROW_BITS) + below).alias(k) for k, v in values.items()))
 
 
