@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from geosieve.functions import euclid
 from geosieve.graph import Graph
+from geosieve.plans.ranks import ranked
 from geosieve.plans.storage import stored
 
 #: Detour of a virtual edge, what a link between trees costs more, and metres a degree (fixed values).
@@ -98,8 +99,9 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 def bridge_chain(reps: DataFrame, scale: float = 1.0, penalty: float = PENALTY * RESCUE) -> DataFrame:
     """Each representative linked to the one before it by id."""
-    w = Window.orderBy("id")  # one row a tree
-    rows = reps.select("id", "x", "y", F.lag("id").over(w).alias("a"), F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py")).where("a IS NOT NULL")
+    at = stored(ranked(reps.select("id", "x", "y"), ["id"], "_place"), "chain")
+    before = at.select(F.col("id").alias("a"), F.col("x").alias("px"), F.col("y").alias("py"), (F.col("_place") + 1).alias("_place"))
+    rows = at.join(before, "_place")
     return rows.select("a", F.col("id").alias("b"), (euclid("x", "y", "px", "py") * scale * penalty).alias("weight"))
 
 
@@ -151,5 +153,5 @@ def connected(graph: Graph, k: int = 10, weight: str = "length") -> Graph:
     edges = graph.edges if weight in graph.edges.columns else graph.edges.withColumn(weight, F.lit(1.0))
     if "eid" in edges.columns:
         top = edges.agg(F.max("eid")).first()[0]
-        extra = extra.withColumn("eid", F.row_number().over(Window.orderBy("src", "dst")).cast("long") + F.lit(-1 if top is None else top))
+        extra = ranked(extra, ["src", "dst"], "eid").withColumn("eid", F.col("eid") + F.lit(0 if top is None else top + 1))
     return Graph(graph.vertices, edges.unionByName(extra, allowMissingColumns=True))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geosieve.functions import parse_maxspeed
 from geosieve.graph import Graph, incident
 from geosieve.operators.connectivity import components
+from geosieve.plans.ranks import ranked
 from geosieve.plans.storage import stored
 
 
@@ -31,7 +31,7 @@ def travel_times(edges: DataFrame) -> DataFrame:
 
 def dense_ids(vertices: DataFrame) -> DataFrame:
     """osmid and its place in ascending order, from 0."""
-    return vertices.select("osmid", (F.row_number().over(Window.orderBy("osmid")) - 1).alias("idx"))
+    return ranked(vertices.select("osmid"), ["osmid"], "idx")
 
 
 def active_nodes(graph: Graph) -> DataFrame:
@@ -46,7 +46,7 @@ def highway_filter(edges: DataFrame, classes: list[str]) -> DataFrame:
 def map_and_dedup(sample: DataFrame, ids: DataFrame) -> DataFrame:
     """(pos, osmid) to (pos, id): unknown ids go, of equal ones the first stays, positions close up."""
     known = sample.join(ids.select("osmid", "id"), "osmid").groupBy("id").agg(F.min("pos").alias("first"))
-    return known.select((F.row_number().over(Window.orderBy("first")) - 1).alias("pos"), "id")
+    return ranked(known, ["first"], "pos").select("pos", "id")
 
 
 def simplify_chains(graph: Graph) -> DataFrame:

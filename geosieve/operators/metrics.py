@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geosieve.graph import Graph
 from geosieve.operators.distances import nearest_center, replace_infinite, shortest_paths
+from geosieve.plans.ranks import percentiles
 from geosieve.plans.storage import stored
 
 
@@ -28,7 +29,11 @@ def balance(vertices: DataFrame, sample: DataFrame) -> DataFrame:
 
 def distance_summary(distances: DataFrame, names: dict[str, str]) -> DataFrame:
     """Aggregates of d by name: max, min, mean, or p<percent> (exact, interpolated)."""
-    return distances.agg(*_summaries(names))
+    rows = stored(distances, "distances")
+    cuts = [name for name, kind in names.items() if kind.startswith("p")]
+    values = dict(zip(cuts, percentiles(rows, "d", [int(names[c][1:]) / 100 for c in cuts])))
+    whole = rows.agg(F.max("d").alias("max"), F.min("d").alias("min"), F.avg("d").alias("mean"))
+    return whole.select(*(F.lit(values[name]).cast("double").alias(name) if name in values else F.col(kind).alias(name) for name, kind in names.items()))
 
 
 GLOBAL = {"global_R_max": "max", "global_mean": "mean", "global_median": "p50", "global_p90": "p90"}

@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geosieve.functions import draw, finite
+from geosieve.plans.ranks import percentiles, ranked
 from geosieve.plans.storage import stored
 
 #: Order of the matrix, and signed ranges of the search (fixed values).
 FEATURES = ("log_degree", "clustering", "freq_residential", "avg_edge_len", "freq_motorway", "avg_maxspeed")
 RANGES = {"log_degree": (0.6, 1.8), "clustering": (0.1, 1.0), "freq_residential": (0.2, 1.6), "avg_edge_len": (-1.8, -0.2), "freq_motorway": (-1.6, -0.1), "avg_maxspeed": (-1.8, -0.2)}
+#: What the principal score weighs (fixed values); betweenness is left at 0 there, so it has no part in a component.
+PRINCIPAL = ("degree", "avg_edge_len", "betweenness", "clustering_coeff", "freq_residential", "freq_primary", "freq_motorway", "freq_service", "freq_other", "avg_maxspeed")
 #: How each difference between the top and bottom counts, and what a wrong sign costs (fixed values).
 PARTS = {"log_degree": (1.0, 5.0), "freq_residential": (0.8, 3.0), "clustering": (0.25, 0.0), "avg_edge_len": (-0.8, 3.0), "freq_motorway": (-0.6, 3.0), "avg_maxspeed": (-0.5, 2.0)}
 
 
 def winsorized(rows: DataFrame, columns: list[str], p: float = 0.995) -> DataFrame:
-    """Clips each column above its exact percentile."""
-    tops = rows.agg(*(F.expr(f"percentile({c}, {p})").alias(f"_{c}") for c in columns))
-    return rows.crossJoin(F.broadcast(tops)).select(*(F.least(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
+    """Clips each column above its exact percentile; `rows` is read once for each column, and once more."""
+    tops = {c: percentiles(rows, c, [p])[0] for c in columns}
+    return rows.select(*(F.least(F.col(c), F.lit(tops[c])).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
 def feature_matrix(features: DataFrame, cap: float = 0.995) -> DataFrame:
     """id and FEATURES: finite, logged degree, lengths and speeds clipped."""
     f = lambda c: finite(F.col(c).cast("double"))
     m = features.select("id", F.log1p(f("degree")).alias("log_degree"), f("clustering_coeff").alias("clustering"), f("freq_residential").alias("freq_residential"), f("avg_edge_len").alias("avg_edge_len"), f("freq_motorway").alias("freq_motorway"), f("avg_maxspeed").alias("avg_maxspeed"))
-    return winsorized(m, ["avg_edge_len", "avg_maxspeed"], cap)
+    return winsorized(stored(m, "matrix"), ["avg_edge_len", "avg_maxspeed"], cap)
 
 
 def zscored(rows: DataFrame, columns: tuple = FEATURES) -> DataFrame:
@@ -45,10 +47,10 @@ def keep_urban(scores: DataFrame, threshold: float = 0.5, rounds: int = 200, tol
     Expectation-maximisation from the quartiles; each round is one aggregate.
     """
     x = stored(scores.select("id", "urbanity_score"), "scores")
-    s = x.agg(F.expr("percentile(urbanity_score, array(0.25, 0.75))").alias("q"), F.var_pop("urbanity_score").alias("v")).first()
-    if s["q"] is None:
+    mean, spread = percentiles(x, "urbanity_score", [0.25, 0.75]), x.agg(F.var_pop("urbanity_score")).first()[0]
+    if spread is None:
         return x.withColumn("p_urban", F.lit(None).cast("double"))
-    mean, var, part = list(s["q"]), [max(s["v"], 1e-9)] * 2, [0.5, 0.5]
+    var, part = [max(spread, 1e-9)] * 2, [0.5, 0.5]
 
     def posterior():
         density = [F.lit(part[i] / var[i] ** 0.5) * F.exp(-((F.col("urbanity_score") - mean[i]) ** 2) / (2 * var[i])) for i in (0, 1)]
@@ -79,8 +81,7 @@ def knee_point(distances: DataFrame, flat: float | None = None) -> DataFrame:
 
     Where the chord has no length the first distance, or `flat` if given (the other legacy form takes 0.5).
     """
-    w = Window.orderBy("d", "id")
-    p = distances.select("d", (F.row_number().over(w) - 1).cast("double").alias("i"))
+    p = stored(ranked(distances.select("d", "id"), ["d", "id"], "i").select("d", F.col("i").cast("double").alias("i")), "knee")
     ends = p.agg(F.max("i").alias("n"), F.min("d").alias("y0"), F.max("d").alias("y1"))
     off = F.abs(F.col("n") * (F.col("d") - F.col("y0")) - F.col("i") * (F.col("y1") - F.col("y0")))
     best = p.crossJoin(F.broadcast(ends)).agg(F.max_by("d", F.struct(F.round(off, 9), -F.col("i"))).alias("knee"), F.count(F.lit(1)).alias("c"), F.min("d").alias("y0"), F.max("d").alias("y1"))
@@ -92,8 +93,8 @@ def knee_point(distances: DataFrame, flat: float | None = None) -> DataFrame:
 def drop_rural(labelled: DataFrame) -> DataFrame:
     """(id, label, score) without the cluster of lowest mean score; noise (-1) stays. Of noise alone, scores from the lower quartile on."""
     if labelled.where("label <> -1").limit(1).count() == 0:
-        quarter = labelled.agg(F.expr("percentile(score, 0.25)").alias("_quarter"))
-        return labelled.crossJoin(F.broadcast(quarter)).where("score >= _quarter").select(*labelled.columns)
+        quarter = percentiles(labelled, "score", [0.25])[0]
+        return labelled.where(F.col("score") >= F.lit(quarter))
     low = labelled.where("label <> -1").groupBy("label").agg(F.avg("score").alias("m")).orderBy("m", "label").limit(1).select("label")
     return labelled.join(F.broadcast(low), "label", "left_anti")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from geosieve.operators.experiment import ALGORITHMS
 from geosieve.operators.metrics import DRAWN, MEASURES
-from geosieve.operators.scoring import PARTS, RANGES
+from geosieve.operators.scoring import PARTS, PRINCIPAL, RANGES
 
 _FAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 EMB = f"""ev AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label AS community FROM embeddings),
@@ -93,6 +93,39 @@ def _farthest(pool: str, matrix: str, k: str) -> str:
 
 _RING = f"SELECT a.id AS a, b.id AS b, {_FAR} AS d FROM reps a JOIN reps b ON a.id <> b.id"
 _ALL = "SELECT s AS a, id AS b, d FROM pth"
+_SCORE = " + ".join(f"{c} * {w}::DOUBLE" for c, w in _W.items())
+_NORMAL = "p{0} / sqrt(v{0}) * exp(-(u - m{0}) * (u - m{0}) / (2 * v{0}))"
+_POSTERIOR = f"CASE WHEN {_NORMAL.format(0)} + {_NORMAL.format(1)} > 0 THEN {_NORMAL.format(1)} / ({_NORMAL.format(0)} + {_NORMAL.format(1)}) ELSE (abs(u - m1) < abs(u - m0))::INT END"
+#: kept (id, urbanity_score, p_urban): expectation-maximisation, one recursion a round.
+_MIXTURE = f"""us AS MATERIALIZED (SELECT id, {_SCORE} AS u FROM z),
+em AS (WITH RECURSIVE r(i, m0, m1, v0, v1, p0, p1, moved) AS (
+ SELECT 0, quantile_cont(u, 0.25), quantile_cont(u, 0.75), greatest(var_pop(u), 1e-9), greatest(var_pop(u), 1e-9), 0.5::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE FROM us
+ UNION ALL
+ SELECT i + 1, a0, a1, greatest((t - t1) / (n - n1) - a0 * a0, 1e-9), greatest(t1 / n1 - a1 * a1, 1e-9), (n - n1) / n, n1 / n, greatest(abs(a0 - m0), abs(a1 - m1)) FROM (
+  SELECT *, (s - s1) / (n - n1) AS a0, s1 / n1 AS a1 FROM (
+   SELECT i, m0, m1, sum(p) AS n1, sum(p * u) AS s1, sum(p * u * u) AS t1, count(u) AS n, sum(u) AS s, sum(u * u) AS t
+   FROM (SELECT r.*, u, {_POSTERIOR} AS p FROM r, us WHERE i < 200 AND moved >= 1e-6) GROUP BY i, m0, m1)
+  WHERE least(n - n1, n1) >= 1e-9))
+ SELECT * FROM r ORDER BY i DESC LIMIT 1),
+kept AS (SELECT * FROM (SELECT id, u AS urbanity_score, CASE WHEN m1 >= m0 THEN p ELSE 1 - p END AS p_urban FROM (SELECT id, u, m0, m1, {_POSTERIOR} AS p FROM us, em)) WHERE p_urban >= 0.5)"""
+
+
+def _principal(rounds: int = 3000) -> str:
+    """ps (id, urbanity_score): power iteration on the covariances of the z-scores, then the sign of degree."""
+    c, every = PRINCIPAL, range(len(PRINCIPAL))
+    z = ", ".join(f"({x} - avg({x}) OVER ()) / coalesce(nullif(stddev_pop({x}) OVER (), 0), 1) AS {x}" for x in c)
+    shared = ", ".join(f"covar_pop({c[i]}, {c[j]}) AS c_{i}_{j}" for i in every for j in every)
+    turned = ", ".join(" + ".join(f"c_{i}_{j} * w_{j}" for j in every) + f" AS y_{i}" for i in every)
+    size = "sqrt(" + " + ".join(f"y_{i} * y_{i}" for i in every) + ")"
+    names = ", ".join(f"w_{i}" for i in every)
+    first = ", ".join(f"{1 + i / 7:.6f}::DOUBLE" for i in every)
+    score = " + ".join(f"{c[i]} * w_{i}" for i in every)
+    return f"""pf AS MATERIALIZED (SELECT id, {z} FROM (SELECT feat.* REPLACE (avg_edge_len_all AS avg_edge_len), 0.0::DOUBLE AS betweenness FROM feat JOIN (SELECT id, avg_edge_len_all FROM tagf) USING (id))),
+pc AS MATERIALIZED (SELECT {shared} FROM pf),
+pw AS (WITH RECURSIVE r(n, {names}) AS (SELECT 0, {first} UNION ALL SELECT n + 1, {", ".join(f"y_{i} / {size}" for i in every)} FROM (SELECT n, {turned} FROM r, pc WHERE n < {rounds})) SELECT * FROM r ORDER BY n DESC LIMIT 1),
+ps AS (SELECT id, ({score}) * CASE WHEN w_0 < 0 THEN -1 ELSE 1 END AS urbanity_score FROM pf, pw)"""
+
+
 _CORES = f"near AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON {_FAR} <= (SELECT knee FROM kk)), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 10), cl AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), lab AS (WITH RECURSIVE r(id, label) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT e.b, min(r.label) FROM r JOIN cl e ON e.a = r.id JOIN recurring.r o ON o.id = e.b WHERE r.label < o.label GROUP BY e.b) SELECT * FROM r)"
 def _trials(n: int) -> str:
     """tj (trial, objective, d_<feature>, w_<feature>) of n drawn weight vectors."""
@@ -184,6 +217,9 @@ ORACLES: dict[str, str] = {
     "node_features": evt("SELECT id, degree, " + _r("freq_residential", "freq_primary", "freq_motorway", "freq_service", "freq_other", "avg_maxspeed", "avg_edge_len", "clustering_coeff") + " FROM feat"),
     "tag_freq_pivot": evt("SELECT id, " + _r("freq_residential", "freq_primary", "freq_motorway", "freq_service", "freq_other") + " FROM tagf WHERE degree > 0"),
     "feature_matrix": evt("SELECT id, " + _r(*_F) + " FROM mat"),
+    "gmm_prune": evt("SELECT id, " + _r("urbanity_score", "p_urban") + " FROM kept", _MIXTURE),
+    "urban_prune": evt("SELECT eid, src, dst, round(length, 6) + 0.0 AS length FROM te WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)", _MIXTURE),
+    "pca_score": evt("SELECT id, " + _r("urbanity_score") + " FROM ps", _principal()),
     "zscore": evt("SELECT id, " + _r(*_F) + " FROM z"),
     "winsorize": emb("SELECT id, round(least(x, (SELECT quantile_cont(x, 0.9) FROM ev)), 6) AS x FROM ev"),
     "urbanity_score": evt("SELECT id, round(" + " + ".join(f"{c} * {w}::DOUBLE" for c, w in _W.items()) + ", 6) + 0.0 AS urbanity_score FROM z"),

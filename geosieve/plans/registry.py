@@ -257,8 +257,8 @@ def tune_weights(g):
 
 @evt2
 def pca_score(g):
-    z = stored(sc.zscored(stored(sc.feature_matrix(fe.node_features(g)), "matrix")), "z")
-    return de.principal_score(z, sc.FEATURES, "log_degree")
+    rows = stored(fe.node_features(g, "all").withColumn("betweenness", F.lit(0.0)), "matrix")
+    return de.principal_score(stored(sc.zscored(rows, sc.PRINCIPAL), "z"), sc.PRINCIPAL, "degree")
 
 
 @emb2

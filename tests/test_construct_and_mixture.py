@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from geosieve.graph import Graph
 from geosieve.operators import construct, scoring
+from geosieve.plans import ranks
 
 
 def contracted(spark, links, ids):
@@ -53,3 +55,16 @@ def test_knee_of_a_flat_curve(spark):
     flat = spark.createDataFrame([(i, 2.0) for i in range(5)], "id long, d double")
     assert scoring.knee_point(flat).first()["knee"] == 2.0 and scoring.knee_point(flat, flat=0.5).first()["knee"] == 0.5
     assert scoring.knee_point(flat.limit(1)).first()["knee"] == pytest.approx(0.1)
+
+
+def test_places_and_percentiles_over_ranges(spark):
+    rng = random.Random(5)
+    values = [rng.choice([0.0, 0.0, rng.random(), None]) for _ in range(3000)]
+    rows = spark.createDataFrame([*enumerate(values)], "id long, v double").repartition(7)
+    got = {r["id"]: r["n"] for r in ranks.ranked(rows.where("v IS NOT NULL"), ["v", "id"], "n").collect()}
+    known = sorted((v, i) for i, v in enumerate(values) if v is not None)
+    assert got == {i: n for n, (_, i) in enumerate(known)}
+    shares = [0.0, 0.25, 0.5, 0.9, 0.995, 1.0]
+    exact = rows.agg(F.expr(f"percentile(v, array({', '.join(map(str, shares))}))")).first()[0]
+    assert ranks.percentiles(rows, "v", shares) == pytest.approx(exact)
+    assert ranks.percentiles(rows.limit(0), "v", shares) == [None] * 6 and ranks.ranked(rows.limit(0), ["v"], "n").count() == 0
