@@ -37,7 +37,7 @@ LENGTH, TRIGGER = 50, 20
 REACH = LENGTH - TRIGGER
 WIDTH = LENGTH + REACH
 #: Bytes of text in a batch (a longer text is one), and parsed at once.
-BATCH_BYTES, SEGMENT = 4 << 20, 1 << 19
+BATCH_BYTES, SEGMENT = 4 << 20, 1 << 16
 #: Bytes of text for each part that triggers and entries are dealt to.
 BUCKET_BYTES = 8 << 20
 #: A trigger that so many batches have is dealt with half of its context; the bytes of a half.
@@ -107,14 +107,14 @@ class Batch:
     def parse(self) -> None:
         """Triggers: places, text of each, and the distinct hashes in order (48 bits)."""
         n, reach, places, hashes = len(self.data), REACH, [], []
-        rest = np.repeat(self.begins[1:], self.sizes).astype(np.int64) if n < 1 << 20 else None
         for low in range(0, max(0, n - LENGTH + 1), SEGMENT):
             a, b = max(0, low - reach), min(n, low + SEGMENT + reach + TRIGGER)
             h = _rolling(self.data[a:b], TRIGGER) | np.uint64(1)
             least = _extreme(h, reach + 1, np.minimum)  # of each place where a string of LENGTH begins
-            at = np.arange(a, a + len(least))
-            ends = rest[a : a + len(least)] if rest is not None else self.begins[np.searchsorted(self.begins, at, "right")]
-            least[ends - at < LENGTH] = 0
+            # No string of LENGTH begins in the last bytes of a text (nor in those of the one before a shorter text).
+            ends = self.begins[np.searchsorted(self.begins, a, "right") : np.searchsorted(self.begins, a + len(least) + LENGTH)]
+            short = (ends[:, None] - np.arange(1, LENGTH)).ravel() - a
+            least[short[(short >= 0) & (short < len(least))]] = 0
             pad = np.zeros(reach, np.uint64)
             most = _extreme(np.concatenate([pad, least, pad]), reach + 1, np.maximum)
             own = np.flatnonzero(most[: len(h)] == h[: len(most)]) + a
