@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.llm.common import free_names
+from geosieve.llm.common import free_names, lean
 from geosieve.llm.sampling import fold, labelled_texts
 from geosieve.llm.tokens import texts_of
 
@@ -152,6 +152,7 @@ def scored(docs: DataFrame, model: Network, threshold: float = THRESHOLD, names:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean()
         net = pickle.loads(weights.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):

@@ -17,12 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.llm.common import discard, free_names, if_small, stored
+from geosieve.llm.common import discard, free_names, if_small, lean, stored
 from geosieve.llm.tokens import texts_of
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Members or nodes under a node, and queries searched at once.
 FANOUT, QUERIES = 8, 256
+#: Shingles hashed at once.
+CHUNK = 1 << 16
 #: Fingerprints that a bucket should have at most, were they spread evenly.
 BUCKET = 4096
 
@@ -38,14 +40,15 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return hash_(b" ".join(words), SEED)
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    begins = (ends - [len(w) + 1 for w in words]).tolist()
-    ends = (ends - 1).tolist()
-    found = np.array([hash_(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :])], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(found), 1 << 16):
-        counts += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    del words
+    n, ends, counts = len(sizes) - shingle + 1, np.cumsum(sizes), np.zeros(64, np.int64)
+    begins = (ends - sizes)[:n]
+    for at in range(0, n, CHUNK):
+        spans = zip(begins[at : at + CHUNK].tolist(), (ends[shingle - 1 :][at : at + CHUNK] - 1).tolist())
+        found = np.array([hash_(joined[a:b], SEED) for a, b in spans], "<u8")
+        counts += np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
@@ -54,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...]
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -154,6 +158,7 @@ def _linked(limit: int):
                 a, b = np.array(pairs).T
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
+        lean()
         key, fps, nodes = None, [], []
         for batch in batches:
             keys = batch["key"].to_numpy()
