@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from geosieve.functions import parse_maxspeed
 from geosieve.graph import Graph, induced
-from geosieve.operators import communities, connectivity, distances, features, metrics, samplers
-from geosieve.sources import read_graph, seeds_folder, write_graph, write_results
+from geosieve.operators import communities, connectivity, distances, features, metrics, plane, samplers
+from geosieve.sources import embedding_graph, read_graph, seeds_folder, write_graph, write_results
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +80,31 @@ def test_nearest_in_plane_equals_all_pairs(spark):
         assert sorted(got[i]) == want
 
 
+def test_embedding_graph_without_all_pairs(spark, tmp_path, monkeypatch):
+    """Copies, points on a line, and places that are null or not finite: the same edges as from all pairs, by (d, id), nulls last."""
+    monkeypatch.setattr(plane, "CELL_PLACES", 16)
+    rng = random.Random(3)
+    places = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(300)] + [(2.0, 2.0)] * 60 + [(i / 7, -3.0) for i in range(40)]
+    places += [(math.inf, 0.0), (-math.inf, 1.0), (math.nan, 0.0), (None, 1.0), (0.5, None), (math.inf, 2.0)]
+    rng.shuffle(places)
+    rows = [(i, [x, y], i % 3) for i, (x, y) in enumerate(places)] + [(len(places), None, 0), (len(places) + 1, [1.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    graph = embedding_graph(spark, str(tmp_path))
+    plan = graph.edges._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    place = {i: (*(e or []), None, None)[:2] for i, e, _ in rows}
+
+    def far(a, b):
+        (x, y), (u, v) = place[a], place[b]
+        if None in (x, y, u, v):
+            return (2, 0.0, b)
+        d = math.sqrt((x - u) * (x - u) + (y - v) * (y - v))
+        return (1, 0.0, b) if math.isnan(d) else (0, d, b)
+
+    want = [(a * 3 + r, a, k[2]) for a in place for r, k in enumerate(sorted(far(a, b) for b in place if b != a)[:3])]
+    assert sorted((r["eid"], r["src"], r["dst"]) for r in graph.edges.collect()) == want
+
+
 def test_connect_many_components(spark):
     # Two groups of twelve single vertices, so far apart that the nearest neighbours leave two trees.
     v = [(i, float(i % 12), 1000.0 * (i // 12)) for i in range(24)]
