@@ -1,5 +1,6 @@
 """Leiden, betweenness, density clusters, principal score and weight search against invariants and brute force."""
 
+import hashlib
 import itertools
 import random
 
@@ -78,3 +79,20 @@ def test_evaluate(spark):
     assert (r["global_R_max"], r["global_mean"], r["global_median"], r["div_min_sep"], r["div_p90"]) == pytest.approx((2, 0.8, 1, 7, 7))
     r = metrics.evaluate(g, v.where("false").select(F.col("id").alias("pos"), "id")).first()
     assert r["cov"] == 0 and r["global_mean"] == float("inf") and r["ari"] is None
+
+
+def test_comparison_leaves_out_samples_without_a_pair_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from geosieve.plans.registry import ORACLES, QUERIES
+
+    early = {i for seed in (7, 8) for i in sorted(range(60), key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())[:20]}
+    late = [i for i in range(60) if i not in early][:12]
+    rows = [(i, [float(i * i % 61), float(i * 7 % 59)], late.index(i) // 3 if i in late else 10 + i) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["compare_grid"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.sql(ORACLES["compare_grid"])
+    at = [got.columns.index(c) for c in want.columns]
+    assert sorted(tuple(r[i] for i in at) for r in got.collect()) == sorted(want.fetchall())
