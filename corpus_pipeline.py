@@ -45,7 +45,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of documents with their ids and places in sequences."""
     from geosieve.llm import packing
 
-    return packing.pack(docs)
+    return packing.pack(docs, last_use=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from geosieve.llm.common import if_small, stored
 from geosieve.llm.token_files import END, tokenized
-from geosieve.llm.tokens import default_tokenizer
+from geosieve.llm.tokens import default_tokenizer, release
 
 WINDOW = 2048
 #: The least tokens that a queue gives at a time, unless a document, window or queue ends: what a source owes, or is owed, stays near it.
@@ -43,12 +43,14 @@ def share_of(position: int, n: int, shares: int) -> int:
     return k
 
 
-def _cut(shares: int):
+def _cut(shares: int, last_use: bool = False):
     """mapInArrow: a document's tokens, cut where the shares of its queue begin."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        if last_use:
+            release()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -90,13 +92,15 @@ def _powers(size: int) -> list[int]:
     return [1 << b for b in range(size.bit_length() - 1, -1, -1) if size >> b & 1]
 
 
-def _fill(sizes: dict[int, int], shares: int, total: int, window: int, slice_tokens: int):
+def _fill(sizes: dict[int, int], shares: int, total: int, window: int, slice_tokens: int, last_use: bool = False):
     """applyInArrow over one share: its pieces with their sequences and offsets. sizes: tokens of each queue."""
     last = total // window * window  # from here on: powers of two
 
     def run(rows):
         import pyarrow as pa
 
+        if last_use:
+            release()
         rows = rows.sort_by([("source_no", "ascending"), ("position", "ascending")])
         k = rows["share"][0].as_py()
         at = sum((2 * n * k + shares) // (2 * shares) for n in sizes.values())
@@ -138,13 +142,13 @@ def _fill(sizes: dict[int, int], shares: int, total: int, window: int, slice_tok
 FIELDS = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long", "source_no": "long", "ids": "binary"}
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int | None = END, window: int = WINDOW, slice_tokens: int = SLICE_TOKENS, share_tokens: int = SHARE_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int | None = END, window: int = WINDOW, slice_tokens: int = SLICE_TOKENS, share_tokens: int = SHARE_TOKENS, last_use: bool = False) -> DataFrame:
     """A row for each piece of a document in a sequence: FIELDS, with the piece's ids as unsigned 32-bit integers.
 
     A source's target is its part of all tokens, so all queues last to the end; each document is packed once.
     Null texts are empty (only the end id). A null source is a source; rows of equal doc_id, or none, are
     documents of their own. The number of sources is held by the driver and each task, documents never are. Empty
-    tables give no rows.
+    tables give no rows. With `last_use` workers drop the tokenizer once all is encoded, instead of keeping it for the next call.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -162,6 +166,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int | None = END, w
     begins = begins.alias("b").join(totals.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("_source"), F.col("part").alias("_part"), "_begin", "source_no", "queue_tokens")
     shares = max(1, -(-total // share_tokens))
     joined = rows.join(if_small(begins), (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
-    cut = joined.select("doc_id", "source_no", (F.col("_begin") + F.col("start_in_part")).alias("position"), "queue_tokens", "n_tokens", "tokens").mapInArrow(_cut(shares), "share long, source_no long, position long, doc_id long, start long, doc_tokens long, ids binary, width long")
-    return cut.groupBy("share").applyInArrow(_fill(sizes, shares, total, window, slice_tokens), ", ".join(f"{c} {t}" for c, t in FIELDS.items()))
+    cut = joined.select("doc_id", "source_no", (F.col("_begin") + F.col("start_in_part")).alias("position"), "queue_tokens", "n_tokens", "tokens").mapInArrow(_cut(shares, last_use), "share long, source_no long, position long, doc_id long, start long, doc_tokens long, ids binary, width long")
+    return cut.groupBy("share").applyInArrow(_fill(sizes, shares, total, window, slice_tokens, last_use), ", ".join(f"{c} {t}" for c, t in FIELDS.items()))
 

@@ -63,6 +63,31 @@ def test_pack(spark, docs, empty):
     assert twice == 2 * sum(map(len, ids.values())) and pack(empty).count() == 0
 
 
+def test_pack_for_the_last_time_gives_the_tokenizer_back(spark, docs):
+    def run(batches):
+        import pyarrow as pa
+
+        from geosieve.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(tokens._encoders)]})
+
+    from geosieve.llm import packing
+
+    rows = lambda df: sorted(map(tuple, df.drop("ids").collect()))
+    assert rows(packing.pack(docs, last_use=True)) == rows(packing.pack(docs))
+    cut = packing._cut(1, last_use=True)
+
+    def used(batches):
+        from geosieve.llm import tokens
+
+        tokens.encoder(tokens.default_tokenizer())
+        list(cut(iter(())))
+        yield from run(batches)
+
+    assert {r["n"] for r in docs.select("doc_id").coalesce(1).mapInArrow(used, "n long").collect()} == {0}
+
+
 def test_every_window_holds_the_mix(spark):
     from geosieve.llm.packing import SLICE_TOKENS, pack
 
