@@ -1,4 +1,4 @@
-"""Shortest paths, nearest centres, sentinels: in the tasks for small graphs, by frontier relaxation for large ones."""
+"""Shortest paths, nearest centres, sentinels: in one task for small graphs, block by block for large ones."""
 
 from __future__ import annotations
 
@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geosieve.graph import Graph, symmetric, undirected_min
-from geosieve.plans.storage import stored
+from geosieve.operators.connectivity import placed
+from geosieve.operators.plane import cells
+from geosieve.plans.ranks import ranked
+from geosieve.plans.storage import forget, stored
 
 
 #: Undirected edges up to which a graph is sent to the tasks whole (some megabytes), to be searched there by Dijkstra.
 SMALL_EDGES = 200_000
+#: Undirected edges that a block of a larger graph should hold, entries that are sent to all tasks at most, and entries of a block in one row.
+BLOCK_EDGES, SENT_ENTRIES, ROW_ENTRIES = 25_000, 200_000, 500_000
 
 
 @dataclass
@@ -48,6 +53,12 @@ class Net:
         return done
 
 
+def _net(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, length: np.ndarray) -> Net:
+    """The Net of edges in both directions, whose ends are all in `ids` (sorted)."""
+    order = np.lexsort((dst, src))
+    return Net(ids, np.append(np.searchsorted(src[order], ids), len(src)), np.searchsorted(ids, dst[order]), length[order])
+
+
 def small_net(graph: Graph, most: int = SMALL_EDGES) -> Net | None:
     """The graph as a Net if it has at most `most` undirected edges (counted here), else None."""
     one = undirected_min(graph.edges).where("a <> b")
@@ -56,17 +67,120 @@ def small_net(graph: Graph, most: int = SMALL_EDGES) -> Net | None:
         return None
     a, b, w = (rows[c].to_numpy() for c in ("a", "b", "length"))
     src, dst, length = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-    order = np.lexsort((dst, src))
-    ids, begins = np.unique(src[order], return_index=True)
-    return Net(ids, np.append(begins, len(src)), np.searchsorted(ids, dst[order]), length[order])
+    return _net(np.unique(src), src, dst, length)
+
+
+_BLOCK = "block long, ids array<long>, begins array<long>, far array<long>, length array<double>, out array<long>, to array<long>, there array<long>, beyond array<double>"
+
+
+def _packed(table):
+    """A row for the edges that leave a block's vertices: its own Net, and the edges to other blocks (from place, id, block, length)."""
+    import pyarrow as pa
+
+    src, dst, length, own, there = (table[c].to_numpy() for c in ("src", "dst", "length", "block", "there"))
+    ids, inner = np.unique(src), own == there
+    n = _net(ids, src[inner], dst[inner], length[inner])
+    columns = (n.ids, n.begins, n.far, n.length, np.searchsorted(ids, src[~inner]), dst[~inner], there[~inner], length[~inner])
+    whole = [pa.array([own[0]], pa.int64())] + [pa.array([c], pa.list_(pa.float64() if i in (3, 7) else pa.int64())) for i, c in enumerate(columns)]
+    return pa.table(whole, names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _searched(batches, across: bool):
+    """(run, id, block, d, owner) from rows of a block with its entries.
+
+    With `across` only what others need: the block's own vertices with edges to other blocks (`known`), and offers to the ends of these.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cell = lambda name: batch[name][i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            net, block = Net(*(cell(c) for c in ("ids", "begins", "far", "length"))), batch["block"][i].as_py()
+            out, to, there, beyond = (cell(c) for c in ("out", "to", "there", "beyond"))
+            entries = batch["entries"][i].values
+            run, ids, d, owner = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("run", "id", "d", "owner"))
+            order = np.argsort(run, kind="stable")
+            runs, begins = np.unique(run[order], return_index=True)
+            for r, at in zip(runs, np.split(order, begins[1:])):
+                found = net.reached(list(zip(d[at].tolist(), owner[at].tolist(), np.searchsorted(net.ids, ids[at]).tolist())))
+                places = np.fromiter(found, np.int64, len(found))
+                near, who = np.array([x for x, _ in found.values()], float), np.array([o for _, o in found.values()], np.int64)
+                parts = [(net.ids[places], np.full(len(places), block), near, who, True)]
+                if across:
+                    all_d, all_who, seen = np.zeros(len(net.ids)), np.zeros(len(net.ids), np.int64), np.zeros(len(net.ids), bool)
+                    all_d[places], all_who[places], seen[places] = near, who, True
+                    edge = np.unique(out[seen[out]])
+                    use = np.flatnonzero(seen[out])
+                    far, by = all_d[out[use]] + beyond[use], all_who[out[use]]
+                    use_order = np.lexsort((by, far, to[use]))
+                    first = use_order[np.unique(to[use][use_order], return_index=True)[1]]
+                    parts = [(net.ids[edge], np.full(len(edge), block), all_d[edge], all_who[edge], True), (to[use][first], there[use][first], far[first], by[first], False)]
+                for own_ids, blocks, dist, owners, known in parts:
+                    n = len(own_ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r)), pa.array(own_ids), pa.array(blocks), pa.array(dist, pa.float64()), pa.array(owners), pa.array(np.full(n, known))], ["run", "id", "block", "d", "owner", "known"])
+
+
+class Blocks:
+    """A graph too large for one task, cut into blocks of near vertices (by x and y, or lon and lat; without them by id).
+
+    A round searches, by Dijkstra inside each block, from all its entries: starts, and vertices that an edge from another block
+    reaches. Only entries are kept between rounds, and only blocks with better ones are searched again; so the rounds are as
+    many as the blocks that a path passes, not as its edges. Whole blocks are written out once, at the end.
+    """
+
+    def __init__(self, graph: Graph):
+        net = stored(symmetric(graph.edges).where("length IS NOT NULL"), "net")
+        ids = net.select(F.col("src").alias("id")).distinct()
+        n, m = ids.count(), net.count() / 2
+        most = max(1, round(n * min(1.0, BLOCK_EDGES / max(m, 1))))
+        at = placed(graph.vertices)
+        if at is None:
+            cut = ranked(ids, ["id"], "place").select("id", F.floor(F.col("place") / most).alias("cell"))
+        else:
+            finite = F.col("x").cast("double").between(-1e300, 1e300) & F.col("y").cast("double").between(-1e300, 1e300)
+            places = stored(at[0].where(finite).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropDuplicates(["id"]).join(ids, "id", "left_semi"), "places")
+            cut = ids.join(cells(places, most).select("id", "cell"), "id", "left").fillna(-1, ["cell"])
+        cut = stored(cut, "cut")
+        parts = cut.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * most)).alias("parts"))  # of one place, or without any
+        self.block = stored(cut.join(F.broadcast(parts), "cell").select("id", (F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("id"), "parts")).alias("block")), "block")
+        rows = net.join(self.block.withColumnRenamed("id", "src"), "src").join(self.block.select(F.col("id").alias("dst"), F.col("block").alias("there")), "dst")
+        count = self.block.select("block").distinct().count()
+        self.nets = stored(rows.repartition(max(1, count), "block").groupBy("block").applyInArrow(_packed, _BLOCK), "nets")
+
+    def search(self, entries: DataFrame, n: int, across: bool) -> DataFrame:
+        """What the n entries (run, id, block, d, owner) reach in their blocks."""
+        parts = n // ROW_ENTRIES + 1
+        rows = entries.groupBy("block", F.pmod(F.xxhash64("run"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("run", "id", "d", "owner")).alias("entries"))
+        return self.nets.join(F.broadcast(rows) if n <= SENT_ENTRIES else rows, "block").mapInArrow(lambda batches: _searched(batches, across), "run long, id long, block long, d double, owner long, known boolean")
+
+    def settled(self, starts: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """All entries of `starts` (run, id, d, owner), once no round makes any better; `before` has those of earlier starts."""
+        fresh = starts.join(self.block, "id").select("run", "id", "block", "d", "owner", F.lit(False).alias("known"))
+        while True:
+            every = fresh if before is None else fresh.unionByName(before.withColumn("known", F.lit(True)).drop("fresh"))
+            best = F.struct("d", "owner")
+            merged = every.groupBy("run", "id", "block").agg(F.min(best).alias("b"), F.min(F.when(F.col("known"), best)).alias("was"))
+            entries = stored(merged.select("run", "id", "block", "b.d", "b.owner", (F.col("was").isNull() | (F.col("b") < F.col("was"))).alias("fresh")), "entries")
+            if before is not None:
+                forget(before)
+            n, better = entries.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+            if not better:
+                return entries
+            live = entries.where("fresh").select("run", "block").distinct()
+            fresh, before = self.search(entries.join(F.broadcast(live) if better <= SENT_ENTRIES else live, ["run", "block"], "left_semi"), n, True), entries
+
+    def reached(self, starts: DataFrame) -> DataFrame:
+        """(run, id, d, owner): the least (d, owner) of all that the starts (run, id, d, owner) of each run reach."""
+        entries = self.settled(starts)
+        found = self.search(entries, entries.count(), False).select("run", "id", "d", "owner")
+        return found.unionByName(starts.join(self.block, "id", "left_anti").select("run", "id", "d", "owner"))
 
 
 def nearest_center(graph: Graph, sample: DataFrame, by: tuple[str, ...] = (), small: int = SMALL_EDGES) -> DataFrame:
     """id, d, owner of every vertex: distance to the nearest sampled one, and its position; ties by position; d null and owner -1 if none reaches it.
 
     With `by`, columns of the sample that tell several samples apart: an answer for each of them. Graphs of at most `small`
-    edges are searched in a task for each sample; for larger ones all samples are relaxed together: each vertex keeps
-    only its best (d, owner), and only vertices that got better in a round send anything in the next one.
+    edges are searched in a task for each sample; in larger ones all samples are searched together, block by block.
     """
     keys = list(by)
     starts = sample.groupBy(*keys, "id").agg(F.min(F.col("pos").cast("long")).alias("owner"))
@@ -91,16 +205,10 @@ def nearest_center(graph: Graph, sample: DataFrame, by: tuple[str, ...] = (), sm
             schema = constant.select("_all", "id").schema.add("d", "double").add("owner", "long")
         best = constant.groupBy(*(keys or ["_all"])).applyInArrow(run, schema).select(*keys, "id", F.struct("d", "owner").alias("b"))
     else:
-        edges = stored(symmetric(graph.edges), "net")
-        best = stored(starts.select(*keys, "id", F.struct(F.lit(0.0).alias("d"), "owner").alias("b")), "relax")
-        front = best
-        while True:
-            offers = front.join(edges, front["id"] == edges["src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.min(F.struct((F.col("b.d") + F.col("length")).alias("d"), F.col("b.owner").alias("owner"))).alias("o"))
-            merged = stored(offers.join(best, [*keys, "id"], "full_outer").select(*keys, "id", F.least("o", "b").alias("b"), (F.col("b").isNull() | (F.col("o") < F.col("b"))).alias("fresh")), "relax")
-            front = merged.where("fresh").select(*keys, "id", "b")
-            best = merged.select(*keys, "id", "b")
-            if front.limit(1).count() == 0:
-                break
+        named = stored(ranked(starts.select(*keys).distinct(), keys, "_run"), "runs") if keys else None
+        one = starts.withColumn("_run", F.lit(0).cast("long")) if named is None else starts.join(F.broadcast(named), keys)
+        best = Blocks(graph).reached(stored(one.select(F.col("_run").alias("run"), "id", F.lit(0.0).alias("d"), "owner"), "starts")).withColumnRenamed("run", "_run")
+        best = (best if named is None else best.join(F.broadcast(named), "_run")).select(*keys, "id", F.struct("d", "owner").alias("b"))
     every = graph.vertices.select("id")
     if keys:
         every = every.crossJoin(F.broadcast(starts.select(*keys).distinct()))  # a row for each sample that is asked for
@@ -126,15 +234,8 @@ def shortest_paths(graph: Graph, sources: DataFrame, small: int = SMALL_EDGES) -
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), source)), pa.array(to), pa.array(d, pa.float64())], ["source", "id", "d"])
 
         return stored(ids.repartition("source").mapInArrow(run, "source long, id long, d double"), "paths")
-    net_rows = stored(symmetric(graph.edges), "net")
-    best = stored(ids.select("source", F.col("source").alias("id"), F.lit(0.0).alias("d")), "paths")
-    front = best
-    while True:
-        offers = front.join(net_rows, front["id"] == net_rows["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("length")).alias("o"))
-        merged = stored(offers.join(best, ["source", "id"], "full_outer").select("source", "id", F.least("o", "d").alias("d"), (F.col("d").isNull() | (F.col("o") < F.col("d"))).alias("fresh")), "paths")
-        front, best = merged.where("fresh").drop("fresh"), merged.drop("fresh")
-        if front.limit(1).count() == 0:
-            return best
+    starts = stored(ids.select(F.col("source").alias("run"), F.col("source").alias("id"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("owner")), "starts")
+    return stored(Blocks(graph).reached(starts).select(F.col("run").alias("source"), "id", "d"), "paths")
 
 
 def replace_infinite(rows: DataFrame, scope: list[str], column: str = "d") -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from geosieve.functions import draw
 from geosieve.graph import Graph
-from geosieve.operators.distances import SMALL_EDGES, nearest_center, small_net
-from geosieve.plans.storage import stored
+from geosieve.operators.distances import SMALL_EDGES, Blocks, small_net
+from geosieve.plans.storage import forget, stored
 
 
 def uniform(vertices: DataFrame, k: int, seed: int) -> DataFrame:
@@ -54,7 +54,7 @@ def farthest_first(graph: Graph, k: int, degree: DataFrame, among: DataFrame | N
 
     Vertices that nothing reaches are farther than all. With `among`, only its ids are chosen. In a graph of at most
     `small` edges one task makes all choices, and a search from a new vertex goes only where it is nearer than the
-    others; in larger ones each choice is one relaxation from the new vertex alone, and the running minimum a column.
+    others; in larger ones each choice adds its vertex to the starts, and only blocks that it comes nearer to are searched again.
     """
     pool = graph.vertices.select("id") if among is None else among.select("id")
     ranked = pool.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
@@ -87,14 +87,18 @@ def farthest_first(graph: Graph, k: int, degree: DataFrame, among: DataFrame | N
     first = ranked.orderBy(F.col("degree").desc(), "id").first()
     if first is None:
         return spark.createDataFrame([], "pos long, id long")
-    chosen, seen = [first["id"]], None
+    chosen, blocks, entries = [first["id"]], Blocks(graph), None
+    pool = stored(pool, "pool")
     while len(chosen) < k:
-        d = nearest_center(graph, spark.createDataFrame([(0, chosen[-1])], "pos long, id long"), small=small).select("id", "d").join(pool, "id", "left_semi")
-        seen = stored(d if seen is None else seen.join(d.withColumnRenamed("d", "n"), "id").select("id", F.least("d", "n").alias("d")), "farthest")
-        far = seen.where(~F.col("id").isin(chosen)).orderBy(F.col("d").desc_nulls_first(), "id").first()
+        start = spark.createDataFrame([(0, chosen[-1], 0.0, 0)], "run long, id long, d double, owner long")
+        entries = blocks.settled(start, entries)
+        near = blocks.search(entries, entries.count(), False).select("id", "d")
+        far = pool.where(~F.col("id").isin(chosen)).join(near, "id", "left").orderBy(F.col("d").desc_nulls_first(), "id").first()
         if far is None:
             break
         chosen.append(far["id"])
+    if entries is not None:
+        forget(entries)
     return spark.createDataFrame(list(enumerate(chosen)), "pos long, id long")
 
 

@@ -138,6 +138,32 @@ def test_both_ways_of_searching_agree(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 120
 
 
+def test_search_by_blocks(spark, monkeypatch):
+    """A path that winds through all blocks, side roads, copies of a place and vertices without one: as by Dijkstra over the whole, in few rounds."""
+    monkeypatch.setattr(distances, "BLOCK_EDGES", 24)
+    rng = random.Random(5)
+    place = [(float(i // 10), float(i % 10 if i // 10 % 2 == 0 else 9 - i % 10)) for i in range(100)] + [(2.0, 2.0)] * 90 + [(None, 1.0), (math.nan, 0.0), (math.inf, 0.0)]
+    ends = [(i, i + 1) for i in range(99)] + [(rng.randrange(100), i) for i in range(100, 193)] + [(rng.randrange(193), rng.randrange(193)) for _ in range(15)]
+    rows = [(i, a, b, float(rng.randint(1, 4))) for i, (a, b) in enumerate(ends)] + [(999, 0, 150, None)]
+    v = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate([*place, (0.0, 0.0)])], "id long, x double, y double")
+    e = spark.createDataFrame(rows, "eid long, src long, dst long, length double")
+    g, known = Graph(v, e), Graph(v.select("id"), e.where("length IS NOT NULL"))
+    s = spark.createDataFrame([(0, 0), (1, 150), (2, 193)], "pos long, id long")
+    made, rounds = distances.stored, []
+    monkeypatch.setattr(distances, "stored", lambda df, name="round": rounds.append(name) or made(df, name))
+    want = sorted(map(tuple, distances.nearest_center(known, s).collect()), key=str)
+    for graph in (g, known):
+        rounds.clear()
+        assert sorted(map(tuple, distances.nearest_center(graph, s, small=0).collect()), key=str) == want
+        assert rounds.count("relax") == 0 and 2 < rounds.count("entries") < 40  # a round for each step would be over 90 for the path alone
+    assert distances.Blocks(g).block.select("block").distinct().count() > 5
+    paths = [sorted(map(tuple, distances.shortest_paths(x, s, small=n).collect())) for x, n in ((known, 1000), (g, 0))]
+    assert paths[0] == paths[1]
+    degree = v.select("id", F.lit(1).alias("degree"))
+    first = [[r["id"] for r in samplers.farthest_first(x, 5, degree, small=n).orderBy("pos").collect()] for x, n in ((known, 1000), (g, 0))]
+    assert first[0] == first[1]
+
+
 def test_top_communities(spark):
     v = spark.createDataFrame([(i, c) for i, c in enumerate([0] * 5 + [1] * 3 + [2] * 3 + [3])], "id long, community long")
     assert {r["community"] for r in communities.top_communities(v, 2).collect()} == {0, 1, -1}
