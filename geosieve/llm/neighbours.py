@@ -31,6 +31,8 @@ CELL_ROWS, SHARD_ROWS, QUERY_ROWS = 4096, 8192, 4096
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_LEAF = 20_000, 16 << 20, 16
 #: Queries searched together, and pairs of query and point compared at once.
 TOGETHER, PAIRS = 512, 1 << 16
+#: Share of a leaf's pairs that pass the test from which a matrix product sieves them; rounding of such products, relative.
+SIEVE, ROUNDING = 0.05, 1e-9
 SEED = 3
 PLACED = "vec_id long, embedding array<double>, low array<double>, cell int"
 FOUND = "query_id long, vec_id long, score double"
@@ -92,8 +94,12 @@ class Tree:
     def leaves_within(self, points: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(point, leaf, squared distance) of the leaves whose box is nearer than `most` (squared), going down from the root."""
         q, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        axes = list(zip(*(np.ascontiguousarray(c.T) for c in (points, self.low, self.high))))
         for level in range(self.depth + 1):
-            r = (np.maximum(np.maximum(self.low[node] - points[q], points[q] - self.high[node]), 0) ** 2).sum(1)
+            r = np.zeros(len(q))
+            for point, low, high in axes:  # one at a time, as pairs times axes would be large
+                p = point.take(q)
+                r += np.maximum(np.maximum(low.take(node) - p, p - high.take(node)), 0) ** 2
             keep = r < most[q]
             q, node, r = q[keep], node[keep], r[keep]
             if level < self.depth:
@@ -104,28 +110,52 @@ class Tree:
 def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, largest: float, k: int, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(scores, ids) of each query's k best here, best first, ties by id, -inf where there are fewer; how many pairs were verified.
 
-    far: the squared distance of each query's k-th best elsewhere, if known (else infinite).
+    far: the squared distance of each query's k-th best elsewhere, if known (else infinite); points farther than it are left out.
     """
     low_points, low_queries = lowered(points, largest), lowered(queries, None)
     tree = Tree(low_points, max(0, math.ceil(math.log2(len(points) / LEAF))))
     limit, norms = chi_square_quantile(CONFIDENCE, PROJECTIONS), (queries**2).sum(1)
     best, names = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
     far, verified = np.full(len(queries), np.inf) if far is None else far.copy(), 0
+    # Matrix products sieve pairs; as their sums differ by rounding, they let this much more through.
+    size_points, size_queries = (low_points**2).sum(1), (low_queries**2).sum(1)
+    slack, low_slack = ROUNDING * (largest + norms), ROUNDING * (size_points.max(initial=0) + size_queries)
+    side_points = np.column_stack([low_points, np.ones(len(points)), size_points])
+    side_queries = np.column_stack([-2 * low_queries, size_queries, np.ones(len(queries))])  # times side_points: r^2
+    least = np.where(np.isinf(far), -np.inf, (largest + norms - far) / 2 - slack)  # k points elsewhere have as much
+
+    def passing(q: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) that may pass the test and be among the k best, of each (query, leaf); leaf by leaf."""
+        nonlocal verified
+        order = np.argsort(leaf, kind="stable")
+        q, leaf = q[order], leaf[order]
+        ends = np.append(np.flatnonzero(np.diff(leaf)) + 1, len(leaf))
+        reach, enough = limit * far + low_slack, np.maximum(best[:, -1] - slack, least)
+        found = []
+        for begin, end in zip(np.append(0, ends[:-1]), ends):
+            a, b = q[begin:end], tree.order[tree.bounds[leaf[begin]] : tree.bounds[leaf[begin] + 1]]
+            near = side_queries.take(a, 0) @ side_points.take(b, 0).T < reach[a, None]
+            passed = np.count_nonzero(near)
+            verified += passed
+            if passed > SIEVE * near.size:
+                near &= queries.take(a, 0) @ points.take(b, 0).T >= enough[a, None]
+            i, j = np.divmod(np.flatnonzero(near), len(b))
+            found.append((a[i], b[j]))
+        a, b = zip(*found)
+        return np.concatenate(a), np.concatenate(b)
 
     def verify(q: np.ndarray, leaf: np.ndarray) -> None:
         """Looks at all points of each (query, leaf) whose projection passes the test."""
-        nonlocal verified
-        size = tree.bounds[leaf + 1] - tree.bounds[leaf]
-        whole_q, at = np.repeat(q, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        whole_p = tree.order[np.repeat(tree.bounds[leaf], size) + at]
+        if not len(q):
+            return
+        whole_q, whole_p = passing(q, leaf)
         found = []
         for i in range(0, len(whole_q), PAIRS):
             a, b = whole_q[i : i + PAIRS], whole_p[i : i + PAIRS]
             near = (((low_queries[a] - low_points[b]) ** 2).sum(1) < limit * far[a]) & (query_ids[a] != ids[b])
             a, b = a[near], b[near]
-            verified += len(a)
             scores = np.einsum("pd,pd->p", queries[a], points[b], optimize=False)  # the same sum wherever a pair stands
-            better = scores >= best[a, -1]
+            better = scores >= np.maximum(best[a, -1], least[a])
             found.append((a[better], scores[better], ids[b[better]]))
         a, scores, got = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         some = np.unique(a)

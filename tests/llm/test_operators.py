@@ -340,6 +340,31 @@ def test_neighbours_over_cells(spark):
     assert verified < 0.5 * 120 * 2400  # clusters are told apart by their projections
 
 
+def test_neighbours_cost_of_a_pair(monkeypatch):
+    """Where nothing can be pruned, products of blocks tell most pairs, and a cell returns no more than what a query's own cell left open."""
+    from geosieve.llm import neighbours
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, summed, plain = np.arange(3000), [], np.einsum
+    monkeypatch.setattr(neighbours.np, "einsum", lambda how, a, b, **more: summed.append(len(a)) or plain(how, a, b, **more))
+    own, _, verified = neighbours.search(x[::20], ids[::20], x[:1500], ids[:1500], 1.0, 20)
+    assert verified > 0.5 * 150 * 1500 and sum(summed) < 0.5 * verified
+    summed.clear()
+    got, names, verified = neighbours.search(x[::20], ids[::20], x[1500:], ids[1500:], 1.0, 20, 2 - 2 * own[:, -1])
+    assert verified > 0.4 * 150 * 1500 and sum(summed) < 0.1 * verified
+    assert ((got > -np.inf) <= (got >= own[:, -1:] - 1e-6)).all()
+    hits = 0
+    for i, q in enumerate(range(0, 3000, 20)):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += (np.concatenate([own[i], got[i]]) >= np.sort(s)[-20] - 1e-9).sum()
+        real = got[i] > -np.inf
+        assert np.allclose(got[i][real], s[names[i][real]], rtol=0, atol=1e-12)
+    assert hits >= 0.9 * 150 * 20
+
+
 def test_classifiers(spark, docs, empty):
     from geosieve.llm.language import language
     from geosieve.llm.quality import quality
